@@ -37,12 +37,16 @@ def needs_host_search(pages: DataFrame) -> Column:
     return out
 
 
-def element_fields() -> Column:
-    """What action rules read from a start tag."""
+def element_fields(more: list[str] | None = None, *extra: Column) -> Column:
+    """What action rules read from a start tag; ``more`` attributes and ``extra`` columns on demand."""
     a = F.col("attrs")
     return M.collected_elements(
         TAGS,
-        F.struct(*[a[k].alias(k.replace("-", "_")) for k in _READ], a["required"].isNotNull().alias("required")).alias("a"),
+        F.struct(
+            *[a[k].alias(k.replace("-", "_")) for k in _READ + (more or [])],
+            a["required"].isNotNull().alias("required"),
+            *extra,
+        ).alias("a"),
         F.coalesce("parent_pos", F.lit(0)).alias("parent_pos"),
         F.coalesce("parent_epos", F.lit(1 << 29)).alias("parent_epos"),
         (F.col("nav_depth") > 0).alias("in_nav"),
@@ -148,6 +152,8 @@ def units(el: DataFrame) -> DataFrame:
         F.when(tag == "select", F.col("options")).alias("options"),
     )
     payload = [F.max("payload").alias("payload")] if "payload" in el.columns else []
+    if "near_price" in el.schema["a"].dataType.names:
+        payload.append(F.max(F.when(submit | lone, F.col("a.near_price"))).alias("near_price"))
     by_name = el.groupBy("page_id", "unit", "pname").agg(
         F.min(F.when(param, F.col("pos"))).alias("first_pos"),
         F.max(F.when(param, F.struct("pos", value.alias("v")))).alias("last"),
@@ -175,7 +181,7 @@ def units(el: DataFrame) -> DataFrame:
         F.min("search_field").alias("search_field"),
         F.coalesce(F.max("shown"), F.lit(False)).alias("shown"),
         F.max("lone").alias("lone"),
-        *payload,
+        *[F.max(c).alias(c) for c in ("payload", "near_price") if c in by_name.columns],
     )
 
 
@@ -281,8 +287,8 @@ def candidates(page_rows: DataFrame) -> DataFrame:
     )
     kind = F.when(tag == "form", "form").when(tag == "a", "link").when(tag == "#page", "form").otherwise("button")
     src = F.when(tag == "form", 0).when(tag == "a", 1).when(tag == "button", 2).when(tag == "input", 3).otherwise(4)
-    load = [F.col("payload")] if "payload" in u.columns else []
-    kept = ok | (F.col("tag") == "#page") if load else ok
+    load = [F.col(c) for c in ("payload", "near_price") if c in u.columns]
+    kept = ok | (F.col("tag") == "#page") if "payload" in u.columns else ok
     out = u.where(kept).select(
         "page_id", src.alias("src"), "pos", F.coalesce(noise, F.lit(False)).alias("noise"), kind.alias("type"),
         "label", target.alias("target"), method.alias("method"), "parameters", description.alias("description"),
@@ -381,13 +387,44 @@ def collected(c: DataFrame, k: int = rules.MAX_ACTIONS) -> DataFrame:
     )
 
 
-def page_rows(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Per page: base URL, texts in order and the elements action rules look at."""
+def page_rows(pages: DataFrame, more: list[str] | None = None, prices: bool = False) -> DataFrame:
+    """Per page: base URL, texts in order and the elements action rules look at.
+
+    With ``prices`` an element also knows whether a price is shown within ten tokens of it.
+    """
     pages = pages.withColumns({"base": F.col("url"), "host_rule": needs_host_search(pages)})
     nd = H.nodes(pages, carry=["base", "host_rule"])
+    extra = []
+    if prices:
+        near = W.partitionBy("page_id").orderBy("pos").rangeBetween(-10, 10)
+        priced = F.coalesce(F.col("piece").rlike(rules.PRICE), F.lit(False))
+        nd = nd.withColumn("near_price", F.max(priced).over(near))
+        extra = [F.col("near_price")]
     return nd.groupBy("page_id").agg(
-        F.max("base").alias("base"), F.max("host_rule").alias("host_rule"), M.collected_texts(), element_fields()
+        F.max("base").alias("base"), F.max("host_rule").alias("host_rule"), M.collected_texts(),
+        element_fields(more, *extra),
+    )
+
+
+FIELD_MORE = ["min", "max", "maxlength", "pattern"]
+
+
+def form_fields(pages: DataFrame) -> DataFrame:
+    """Named fields of every form; of fields with the same name the last one counts, in the place of the first."""
+    el = _with_options(labelled(rows(page_rows(pages, FIELD_MORE))).where(F.col("tag") != "label"))
+    a = F.col("a")
+    name = truthy(a["name"])
+    field = F.col("tag").isin("input", "select", "textarea") & F.col("form_pos").isNotNull() & name.isNotNull()
+    el = el.where(field & F.coalesce(a["type"] != "submit", F.lit(True)))
+    got = F.struct(
+        F.col("pos").alias("last_pos"),
+        F.coalesce(a["type"], F.lit("text")).alias("type"),
+        "tag", "label", a["required"].alias("required"),
+        F.when(F.col("tag") == "select", F.col("options")).alias("options"),
+        *[a[k].alias(k) for k in FIELD_MORE], a["value"].alias("value"),
     )
+    g = el.groupBy("page_id", "form_pos", name.alias("name")).agg(F.min("pos").alias("pos"), F.max(got).alias("f"))
+    return g.select("page_id", "form_pos", "pos", "name", "f.*").drop("last_pos")
 
 
 def top_actions(pages: DataFrame, k: int = rules.MAX_ACTIONS) -> DataFrame:

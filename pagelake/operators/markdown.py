@@ -109,8 +109,8 @@ def with_main(nd: DataFrame, hint: str | None = None) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def piece_text() -> Column:
-    """Markdown text an event contributes."""
+def piece_text(link_end: Column | None = None) -> Column:
+    """Markdown text an event contributes; ``link_end`` replaces the usual inline target of a link."""
     tag, kind, s0 = F.col("tag"), F.col("kind"), F.col("side") == 0
     attrs = F.col("attrs")
     plain = F.regexp_replace("txt", "[ \t\r\n\f]+", " ")
@@ -126,7 +126,7 @@ def piece_text() -> Column:
         .when(kind != "open", F.lit(""))
         .when(tag.isin(_HEADINGS), both(F.concat(gap, F.repeat(F.lit("#"), level), F.lit(" ")), gap))
         .when(tag == "a", F.when(attrs["href"].isNull(), "").otherwise(
-            both(F.lit("["), F.concat(F.lit("]("), attrs["href"], F.lit(")")))))
+            both(F.lit("["), F.concat(F.lit("]("), attrs["href"], F.lit(")")) if link_end is None else link_end)))
         .when(tag.isin("b", "strong"), both(F.lit(_B0), F.lit(_B1)))
         .when(tag.isin("i", "em"), both(F.lit(_I0), F.lit(_I1)))
         .when(tag == "br", F.when(F.col("cell_depth") > 0, " ").otherwise("\n"))
@@ -163,10 +163,10 @@ def normalise(md: Column) -> Column:
     return strip(F.regexp_replace(md, r"[ \t]+\n", "\n"))
 
 
-def content_piece() -> Column:
+def content_piece(link_end: Column | None = None) -> Column:
     """Ordered piece of an event of the main block; null for events that add nothing."""
     inside = F.col("at").between(2 * F.col("main.pos"), 2 * F.col("main.epos") + 1)
-    p = piece_text()
+    p = piece_text(link_end)
     return F.when(
         inside & ~F.col("dropped") & (p != ""), F.struct("at", (-F.col("pos")).alias("neg"), p.alias("piece"))
     )
@@ -176,6 +176,42 @@ def joined(pieces: Column) -> Column:
     return normalise(F.array_join(F.transform(F.sort_array(pieces), lambda x: x["piece"]), ""))
 
 
+def reference_links(pages: DataFrame, max_rows: int = 50) -> DataFrame:
+    """Markdown with numbered link references, tracking parameters taken out, and long tables cut with a mark.
+
+    Targets are numbered per page in order of first use; the list of references follows the text.
+    """
+    nd = with_main(H.nodes(pages))
+    inside = F.col("at").between(2 * F.col("main.pos"), 2 * F.col("main.epos") + 1) & ~F.col("dropped")
+    href = urls.without_tracking(F.col("attrs")["href"], rules.TRACKING_PARAMETER)
+    nd = nd.withColumn("href", F.when(inside & (F.col("tag") == "a"), href))
+    nd = nd.withColumn("first_use", F.min("pos").over(W.partitionBy("page_id", "href")))
+    nd = nd.withColumn("first_use", F.when(F.col("href").isNotNull(), F.col("first_use")))
+    nd = nd.withColumn("ref", F.dense_rank().over(W.partitionBy("page_id").orderBy(F.col("first_use").asc_nulls_last())))
+    # Rows of a table, counted in order; what lies in rows beyond the limit is left out.
+    order = W.partitionBy("page_id").orderBy("at", F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
+    opened = lambda t: F.last(F.when((F.col("side") == 0) & (F.col("tag") == t), F.struct("pos", "epos")), ignorenulls=True).over(order)
+    nd = nd.withColumns({"_t": opened("table"), "_r": opened("tr")})
+    row_of = F.when(F.col("_r.epos") >= F.col("pos"), F.col("_r.pos"))
+    nd = nd.withColumn("_row", F.when((F.col("_t.epos") >= F.col("pos")) & (row_of > F.col("_t.pos")), row_of))
+    nd = nd.withColumn("nth_row", F.dense_rank().over(W.partitionBy("page_id", "_t.pos").orderBy(F.col("_row").asc_nulls_last())))
+    over = F.col("_row").isNotNull() & (F.col("nth_row") > max_rows)
+    cut = over & (F.col("nth_row") == max_rows + 1) & (F.col("tag") == "tr") & (F.col("side") == 0)
+    shown = content_piece(F.concat(F.lit("]["), F.col("ref").cast("string"), F.lit("]")))
+    mark = F.struct("at", (-F.col("pos")).alias("neg"), F.lit("\n| … |").alias("piece"))
+    piece = F.when(cut & inside, mark).when(~over, shown)
+    refs = F.array_sort(F.collect_set(F.when(F.col("href").isNotNull() & ~over, F.struct("ref", "href"))))
+    g = nd.groupBy("page_id").agg(joined(F.collect_list(piece)).alias("markdown"), refs.alias("refs"))
+    listed = F.array_join(
+        F.transform("refs", lambda r: F.concat(F.lit("["), r["ref"].cast("string"), F.lit("]: "), r["href"])), "\n"
+    )
+    return g.select(
+        "page_id",
+        F.when(F.size("refs") > 0, F.concat("markdown", F.lit("\n\n"), listed)).otherwise(F.col("markdown")).alias("markdown"),
+        F.size("refs").alias("n_refs"),
+    )
+
+
 def truncate(df: DataFrame, max_tokens: str | int) -> DataFrame:
     """Cut ``markdown`` to a token budget (null: no budget), mark the cut, and add ``truncated``."""
     limit = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
