@@ -50,18 +50,14 @@ def _without_dots(p: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """Resolve a reference against a base URL; in-page and non-web references stay as they are."""
-    h_frag = F.when(href.contains("#"), F.concat(F.lit("#"), F.regexp_extract(href, _SPLIT, 5))).otherwise("")
-    h_query = F.when(
-        F.regexp_extract(href, r"^([^#]*)", 1).contains("?"),
-        F.concat(F.lit("?"), F.regexp_extract(href, _SPLIT, 4)),
+    part = lambda url, mark, i: F.when(
+        F.regexp_extract(url, _SPLIT, i) != "", F.concat(F.lit(mark), F.regexp_extract(url, _SPLIT, i))
     ).otherwise("")
+    h_frag, h_query = part(href, "#", 5), part(href, "?", 4)
     h_path = F.regexp_extract(href, _SPLIT, 3)
     b_scheme, b_host = scheme(base), netloc(base)
     b_path = F.regexp_extract(base, _SPLIT, 3)
-    b_query = F.when(
-        F.regexp_extract(base, r"^([^#]*)", 1).contains("?"),
-        F.concat(F.lit("?"), F.regexp_extract(base, _SPLIT, 4)),
-    ).otherwise("")
+    b_query = part(base, "?", 4)
     root = F.concat(b_scheme, F.lit("://"), b_host)
     folder = F.regexp_extract(F.when(b_path == "", F.lit("/")).otherwise(b_path), r"^(.*/)", 1)
     return (

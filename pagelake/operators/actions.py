@@ -77,7 +77,7 @@ def rows(page_rows: DataFrame) -> DataFrame:
         e["a"].alias("a"), e["parent_pos"].alias("parent_pos"), e["parent_epos"].alias("parent_epos"),
         e["in_nav"].alias("in_nav"), e["form_pos"].alias("form_pos"), e["select_pos"].alias("select_pos"),
         F.lit(None).cast("string").alias("page_base"), F.lit(None).cast("int").alias("host_rule"),
-        *extra(F.lit(None).cast(load_type)),
+        *extra(F.lit(None).cast(load_type or "string")),
     ))
     out = page_rows.select("page_id", F.inline(F.concat(F.array(page_el), els)))
     return out.withColumn("base", F.max("page_base").over(W.partitionBy("page_id"))).drop("page_base")

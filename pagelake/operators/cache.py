@@ -104,7 +104,7 @@ def cache_replay(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     was made. Ties in time are replayed in order of ``id``.
     """
     r = requests.withColumns(
-        {"us": F.unix_micros("ts"), "ttl_us": (F.col("ttl") * 1_000_000).cast("long")}
+        {"us": F.unix_micros("ts"), "ttl_us": F.col("ttl").cast("long") * 1_000_000}
     ).drop("ts")
     live = F.col("use_cache") & (F.col("ttl_us") > 0)
     rows = r.where(live)

@@ -29,23 +29,24 @@ def action_text(a: Column) -> Column:
 
 
 def has_action(actions: Column, name: Column) -> Column:
-    """Whether an action matches a name: by its pattern where it has one, else by its words."""
+    """Whether an action matches a name: by its pattern where it has one, else by its words (false without actions)."""
     known = F.create_map(*[F.lit(x) for pair in rules.ACTION_NAME_PATTERNS for x in pair])
     words = F.lower(F.replace(name, F.lit("_"), F.lit(" ")))
-    return F.exists(
+    hit = F.exists(
         actions,
         lambda a: F.when(
             F.element_at(known, name).isNotNull(), F.regexp_like(action_text(a), F.element_at(known, name))
         ).otherwise(F.lower(action_text(a)).contains(words)),
     )
+    return F.coalesce(hit, F.lit(False))
 
 
 def _checks() -> Column:
     """Failure messages of a row of fixture expectations ``x`` and response columns, in check order."""
     none = F.array().cast("array<string>")
     md = F.coalesce("markdown", F.lit(""))
-    acts = F.coalesce("response_actions", F.array().cast("array<struct<type:string,label:string,target:string,method:string,description:string>>"))
-    words, count = word_count(md), F.size(acts)
+    acts = F.col("response_actions")
+    words, count = word_count(md), F.coalesce(F.size(acts), F.lit(0))
     xm, xa, xs = F.col("x.markdown"), F.col("x.actions"), F.col("x.meta.strategy")
     path = F.coalesce("meta.extraction_path", "meta.strategy")
     one = lambda cond, msg: F.array(F.when(F.coalesce(cond, F.lit(False)), msg))
@@ -63,7 +64,7 @@ def _checks() -> Column:
         one(count > xa["max_count"], _say("actions count ", count, " > max ", xa["max_count"])),
         each(xa["must_include_names"], lambda n: ~has_action(acts, n), lambda n: _say("missing action: ", n)),
         each(xa["must_not_include_names"], lambda n: has_action(acts, n), lambda n: _say("unexpected action present: ", n)),
-        one((xa["must_include_effect"] == "local") & ~local, F.lit("no action with local/DOM effect found")),
+        one((xa["must_include_effect"] == "local") & ~F.coalesce(local, F.lit(False)), F.lit("no action with local/DOM effect found")),
     ]
     return F.filter(F.concat(*parts), lambda m: m.isNotNull())
 

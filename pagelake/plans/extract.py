@@ -80,6 +80,8 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
     already partitioned by. Without ``renders`` no page is routed (static-only variant).
     """
     f = R.classify_fetch(with_defaults(fetches))
+    if renders is None:
+        f = f.withColumn("render", F.lit("never"))
     html = F.when(F.col("render") != "always", F.col("html")) if renders is not None else F.col("html")
     f = f.withColumns(
         {
@@ -118,7 +120,10 @@ def _assemble(j: DataFrame) -> DataFrame:
     failed = ((F.col("render") == "never") & F.col("fetch_error").isNotNull()) | (
         F.col("render_error").isNotNull() & (md == "")
     )
-    content = F.when(F.col("signals.has_html"), R.content_error(F.col("signals"), md, F.col("status_code")))
+    content = F.when(
+        F.col("signals.has_html"),
+        R.content_error(F.col("signals"), md, F.when(F.col("fetch_error").isNull(), F.col("status_code")).otherwise(200)),
+    )
     err = F.when(failed, F.coalesce("render_error", "fetch_error")).otherwise(
         F.coalesce(F.col("render_error"), content, F.col("fetch_error"))
     )

@@ -51,7 +51,7 @@ def cache_stream(requests: DataFrame, late: str = "1 hour") -> DataFrame:
     source bound what a key can bring into one micro-batch.
     """
     r = requests.withWatermark("ts", late).withColumns(
-        {"us": F.unix_micros("ts"), "ttl_us": (F.col("ttl") * 1_000_000).cast("long")}
+        {"us": F.unix_micros("ts"), "ttl_us": F.col("ttl").cast("long") * 1_000_000}
     )
     return r.select("id", "key", "ts", "us", "ttl_us", "storable", "use_cache").groupBy("key").applyInPandasWithState(
         _serve, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
