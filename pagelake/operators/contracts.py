@@ -207,14 +207,20 @@ def effects(net: DataFrame, nav: DataFrame, dom: DataFrame) -> DataFrame:
 
 def lift(net: DataFrame) -> DataFrame:
     """HTTP contract of observed requests: values of parameters become placeholders, connection headers go."""
-    template = F.aggregate(
-        F.map_entries("params"),
-        F.col("url"),
-        lambda u, p: F.when(
-            p["value"] != "",
-            F.replace(u, F.concat(F.lit("="), p["value"]), F.concat(F.lit("={"), p["key"], F.lit("}"))),
-        ).otherwise(u),
+    # A query value is replaced when it is, as a whole, the value of a parameter.
+    named = lambda v: F.get(F.map_keys(F.map_filter("params", lambda k, x: (x == v) & (x != ""))), F.lit(0))
+    value = lambda p: F.regexp_extract(p, r"^[^=]*=(.*)$", 1)
+    parts = F.transform(
+        F.split(urls.query(F.col("url")), "&"),
+        lambda p: F.when(
+            named(value(p)).isNotNull(),
+            F.concat(F.regexp_extract(p, r"^([^=]*=)", 1), F.lit("{"), named(value(p)), F.lit("}")),
+        ).otherwise(p),
     )
+    template = F.when(
+        urls.query(F.col("url")) != "",
+        F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), F.lit("?"), F.array_join(parts, "&")),
+    ).otherwise(F.col("url"))
     headers = F.map_filter("headers", lambda k, v: ~F.lower(k).isin(rules.HOP_HEADERS))
     cookie = F.exists(F.map_keys("headers"), lambda k: F.lower(k) == "cookie")
     return net.select(
@@ -289,7 +295,7 @@ def action_graph(actions: DataFrame, fp: DataFrame) -> DataFrame:
     third of all links lead to arrives as one row per source template. Targets that were not
     seen as pages stand for themselves by host and path pattern.
     """
-    src = actions.join(fp.select("page_id", F.col("template").alias("src")), "page_id")
+    src = actions.select("page_id", "type", "target").join(fp.select("page_id", F.col("template").alias("src")), "page_id")
     counted = src.groupBy("src", "type", "target").agg(F.count("*").alias("n"))
     pages = fp.groupBy("url").agg(F.min("template").alias("dst"))
     j = counted.join(pages, counted["target"] == pages["url"], "left")
