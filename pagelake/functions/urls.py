@@ -48,26 +48,46 @@ def _without_dots(p: Column) -> Column:
     return F.when(p.contains("/."), joined).otherwise(p)
 
 
+def base_parts(base: Column) -> Column:
+    """What resolving needs of a base URL; worth computing once per page."""
+    base_path = F.regexp_extract(base, _SPLIT, 3)
+    start = F.concat(scheme(base), F.lit("://"), netloc(base))
+    search = F.regexp_extract(base, _SPLIT, 4)
+    return F.struct(
+        base.alias("url"),
+        netloc(base).alias("host"),
+        start.alias("root"),
+        F.concat(start, base_path).alias("front"),
+        F.regexp_extract(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"^(.*/)", 1).alias("folder"),
+        F.when(search != "", F.concat(F.lit("?"), search)).otherwise("").alias("query"),
+    )
+
+
 def resolve(href: Column, base: Column) -> Column:
     """Resolve a reference against a base URL; in-page and non-web references stay as they are."""
-    part = lambda url, mark, i: F.when(
-        F.regexp_extract(url, _SPLIT, i) != "", F.concat(F.lit(mark), F.regexp_extract(url, _SPLIT, i))
+    return resolve_parts(href, base_parts(base))
+
+
+def resolve_parts(href: Column, b: Column) -> Column:
+    """``resolve`` with the parts of the base URL at hand."""
+    part = lambda mark, i: F.when(
+        F.regexp_extract(href, _SPLIT, i) != "", F.concat(F.lit(mark), F.regexp_extract(href, _SPLIT, i))
     ).otherwise("")
-    h_frag, h_query = part(href, "#", 5), part(href, "?", 4)
+    tail = F.concat(part("?", 4), part("#", 5))
     h_path = F.regexp_extract(href, _SPLIT, 3)
-    b_scheme, b_host = scheme(base), netloc(base)
-    b_path = F.regexp_extract(base, _SPLIT, 3)
-    b_query = part(base, "?", 4)
-    root = F.concat(b_scheme, F.lit("://"), b_host)
-    folder = F.regexp_extract(F.when(b_path == "", F.lit("/")).otherwise(b_path), r"^(.*/)", 1)
+    # Most references start at the root and need no rewriting.
+    plain = href.startswith("/") & ~href.startswith("//") & ~href.contains("/.") & ~href.rlike(r"[?#](#|$)")
     return (
         F.when(href.isNull() | (href == ""), href)
-        .when(href.rlike(r"^(#|javascript:|mailto:|tel:)"), href)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, _without_dots(h_path), h_query, h_frag))
-        .when(h_path == "", F.concat(root, b_path, F.when(h_query != "", h_query).otherwise(b_query), h_frag))
-        .otherwise(F.concat(root, _without_dots(F.concat(folder, h_path)), h_query, h_frag))
+        .when(plain, F.concat(b["root"], href))
+        .when(href.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(b["root"], r"^([^/]*)", 1), href))
+        .when(h_path.startswith("/"), F.concat(b["root"], _without_dots(h_path), tail))
+        .when(
+            h_path == "",
+            F.concat(b["front"], F.when(part("?", 4) != "", part("?", 4)).otherwise(b["query"]), part("#", 5)),
+        )
+        .otherwise(F.concat(b["root"], _without_dots(F.concat(b["folder"], h_path)), tail))
     )
 
 

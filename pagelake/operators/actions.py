@@ -69,18 +69,18 @@ def rows(page_rows: DataFrame) -> DataFrame:
         F.get("els", F.lit(0))["a"].alias("a"),
         F.lit(0).alias("parent_pos"), F.lit(0).alias("parent_epos"), F.lit(False).alias("in_nav"),
         F.lit(None).cast("int").alias("form_pos"), F.lit(None).cast("int").alias("select_pos"),
-        F.col("base").alias("page_base"), F.col("host_rule").alias("host_rule"),
+        F.col("host_rule").alias("host_rule"),
         *extra(F.col("payload")),
     )
     els = F.transform("els", lambda e: F.struct(
         e["pos"].alias("pos"), e["tag"].alias("tag"), M._slice_text(F.col("texts"), e, "").alias("text"),
         e["a"].alias("a"), e["parent_pos"].alias("parent_pos"), e["parent_epos"].alias("parent_epos"),
         e["in_nav"].alias("in_nav"), e["form_pos"].alias("form_pos"), e["select_pos"].alias("select_pos"),
-        F.lit(None).cast("string").alias("page_base"), F.lit(None).cast("int").alias("host_rule"),
+        F.lit(None).cast("int").alias("host_rule"),
         *extra(F.lit(None).cast(load_type or "string")),
     ))
-    out = page_rows.select("page_id", F.inline(F.concat(F.array(page_el), els)))
-    return out.withColumn("base", F.max("page_base").over(W.partitionBy("page_id"))).drop("page_base")
+    out = page_rows.withColumn("parts", urls.base_parts(F.col("base")))
+    return out.select("page_id", F.col("parts").alias("base"), F.inline(F.concat(F.array(page_el), els)))
 
 
 def labelled(el: DataFrame) -> DataFrame:
@@ -113,12 +113,11 @@ def _with_options(el: DataFrame) -> DataFrame:
     in_select = option & F.col("select_pos").isNotNull()
     keep = [c for c in el.columns if c not in ("page_id", "select_pos")]
     el = el.where((~option) | (in_select & (F.col("a.value") != "")))
-    rank = F.row_number().over(W.partitionBy("page_id", "select_pos", option).orderBy("pos"))
-    el = el.withColumn("_nth", rank).where(~option | (F.col("_nth") <= rules.MAX_OPTIONS))
     g = el.groupBy("page_id", F.when(option, F.col("select_pos")).otherwise(F.col("pos")).alias("_unit")).agg(
         F.max(F.when(~option, F.struct(*keep))).alias("r"),
         F.transform(
-            F.sort_array(F.collect_list(F.when(option, F.struct("pos", "text")))), lambda x: x["text"]
+            F.slice(F.sort_array(F.collect_list(F.when(option, F.struct("pos", "text")))), 1, rules.MAX_OPTIONS),
+            lambda x: x["text"],
         ).alias("options"),
     )
     return g.where("r is not null").select("page_id", "r.*", F.when(F.size("options") > 0, F.col("options")).alias("options"))
@@ -234,14 +233,14 @@ def candidates(page_rows: DataFrame) -> DataFrame:
     tag = F.when(F.col("form").isNotNull(), F.lit("form")).otherwise(F.col("lone.tag"))
     href, onclick = F.col("lone.href"), F.coalesce(F.col("lone.onclick"), F.lit(""))
     jump = truthy(F.regexp_extract(onclick, rules.LOCATION_HREF, 1))
-    base = F.col("base")
+    base, parts = F.col("base.url"), F.col("base")
     ref = (
         F.when(tag == "form", F.coalesce(truthy(F.col("form.action")), base))
         .when(tag == "a", href)
         .when(tag == "button", jump)
     )
     u = u.withColumns({"tag": tag, "ref": ref, "jump": jump})
-    u = u.withColumn("resolved", urls.resolve(F.col("ref"), base))
+    u = u.withColumn("resolved", urls.resolve_parts(F.col("ref"), parts))
     tag, label = F.col("tag"), F.when(F.col("tag") == "form", F.col("form_label")).otherwise(F.col("lone.label"))
     u = u.withColumn("label", label)
     label = F.col("label")
@@ -251,7 +250,7 @@ def candidates(page_rows: DataFrame) -> DataFrame:
         truthy(href).isNotNull()
         & ~href.rlike(r"^(javascript:|mailto:)")
         & (F.length(label) >= 2)
-        & (hash_link | urls.same_host(F.col("resolved"), base))
+        & (hash_link | (href.startswith("/") & ~href.startswith("//")) | (urls.netloc(F.col("resolved")) == parts["host"]))
     )
     ok = (
         F.when(tag == "form", ~F.col("trivial"))
@@ -301,7 +300,9 @@ def _host_search(c: DataFrame) -> DataFrame:
     """Keep the page row as a search form only where a host rule applies and nothing offered is a search."""
     page = W.partitionBy("page_id")
     blob = F.concat_ws(" ", "label", "description", "target")
-    hit = (F.col("src") < 4) & ~F.col("noise") & (blob.rlike(rules.SEARCH) | _any_search_key())
+    # Only pages a host rule calls for need the test.
+    c = c.withColumn("_ruled", F.max("host_rule").over(page))
+    hit = F.col("_ruled").isNotNull() & (F.col("src") < 4) & ~F.col("noise") & (blob.rlike(rules.SEARCH) | _any_search_key())
     c = c.withColumn("_searched", F.max(F.coalesce(hit, F.lit(False))).over(page))
     keep = "payload" in c.columns
     c = c.withColumn("host_rule", F.when(~F.col("_searched"), F.col("host_rule")))
@@ -322,11 +323,11 @@ def _host_search(c: DataFrame) -> DataFrame:
         {
             "type": F.when(~page_only, F.col("type")),
             "label": F.when(rule, host_label).otherwise(F.col("label")),
-            "target": F.when(rule, urls.resolve(host_path, F.col("base"))).otherwise(F.col("target")),
+            "target": F.when(rule, urls.resolve_parts(host_path, F.col("base"))).otherwise(F.col("target")),
             "parameters": F.when(rule, q).otherwise(F.col("parameters")),
             "description": F.when(rule, F.lit("Submit a search query and load matching products.")).otherwise(F.col("description")),
         }
-    ).drop("_searched", "host_rule", "base")
+    ).drop("_searched", "_ruled", "host_rule", "base")
 
 
 def action_key() -> Column:

@@ -17,22 +17,31 @@ SHAPE_TAGS = [
 ]
 
 
+PAGES_PER_PART = 500_000
+
 # ------------------------------------------------------------------------------- templates
 def path_pattern(url: Column) -> Column:
     return F.regexp_replace(urls.path(url), r"[0-9]+", "{n}")
 
 
+def shape() -> Column:
+    """Aggregate over a page's start tags: its distinct parent>child pairs of shaping tags, sorted."""
+    edge = F.concat(F.coalesce("parent_tag", F.lit("")), F.lit(">"), F.col("tag"))
+    is_start = (F.col("kind") == "open") & F.col("tag").isin(SHAPE_TAGS)
+    return F.array_join(F.array_sort(F.collect_set(F.when(is_start, edge))), " ")
+
+
+def template(shape_: Column, url: Column) -> Column:
+    return F.concat(F.lit("tpl_"), short_hash(F.concat_ws("|", shape_, path_pattern(url))))
+
+
 def fingerprints(pages: DataFrame) -> DataFrame:
     """Template of each page: digest of its parent>child shapes (no text, no counts) and its path pattern."""
     els = H.elements(H.tokens(pages, carry=["url"]))
-    edge = F.concat(F.coalesce("parent_tag", F.lit("")), F.lit(">"), F.col("tag"))
-    shape = F.array_join(
-        F.array_sort(F.collect_set(F.when((F.col("kind") == "open") & F.col("tag").isin(SHAPE_TAGS), edge))), " "
-    )
-    g = els.groupBy("page_id").agg(F.max("url").alias("url"), shape.alias("shape"))
+    g = els.groupBy("page_id").agg(F.max("url").alias("url"), shape().alias("shape"))
     return g.select(
         "page_id", "url", urls.netloc(F.col("url")).alias("domain"), path_pattern(F.col("url")).alias("path_pattern"), "shape",
-        F.concat(F.lit("tpl_"), short_hash(F.concat_ws("|", "shape", path_pattern(F.col("url"))))).alias("template"),
+        template(F.col("shape"), F.col("url")).alias("template"),
     )
 
 
@@ -43,25 +52,31 @@ def templates(fp: DataFrame) -> DataFrame:
     )
 
 
-def reuse_actions(fp: DataFrame, catalogue: DataFrame, actions: DataFrame) -> DataFrame:
-    """Actions of the representative given to every page of its template.
+def reuse_actions(fp: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions of the page that represents a template, given to every page of the template.
 
-    The joins are on domain and template; the catalogue has one row per template, and the
-    actions of a template are at most the action cap, so each page multiplies by that cap only.
+    ``fp`` and ``actions`` both have page_id, domain and template. A template multiplies each of
+    its pages by the action cap at most. Pages of a template too common for one task are spread
+    over as many parts as its size calls for, and its few actions are repeated for each part.
     """
-    rep = catalogue.join(actions, catalogue["representative"] == actions["page_id"]).drop(actions["page_id"])
-    return fp.select("page_id", "domain", "template").join(
-        rep.select("domain", "template", "rank", "type", "label", "method"), ["domain", "template"]
+    parts = F.ceil(F.col("pages") / PAGES_PER_PART)
+    catalogue = templates(fp).withColumn("parts", parts)
+    rep = actions.join(
+        catalogue.select(F.col("representative").alias("page_id"), "domain", "template", "parts"),
+        ["page_id", "domain", "template"],
+    ).select("domain", "template", "rank", "type", "label", "method", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    big = catalogue.where("parts > 1").select("domain", "template", "parts")  # at most pages / PAGES_PER_PART rows
+    spread = fp.select("page_id", "domain", "template").join(F.broadcast(big), ["domain", "template"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1)))
     )
+    return spread.join(rep, ["domain", "template", "part"]).drop("parts", "part")
 
 
-def action_ids(actions: DataFrame, fp: DataFrame) -> DataFrame:
-    """Stable ids of actions: domain, template, what the action is, contract version."""
+def action_ids(actions: DataFrame) -> DataFrame:
+    """Stable ids of actions (with domain and template): domain, template, what the action is, version."""
     semantic = F.concat_ws(":", "type", F.lower("label"), "method")
     ident = F.concat_ws("|", "domain", "template", semantic, F.lit(rules.CONTRACT_VERSION))
-    return actions.join(fp.select("page_id", "domain", "template"), "page_id").withColumn(
-        "action_id", F.concat(F.lit("act_"), short_hash(ident))
-    )
+    return actions.withColumn("action_id", F.concat(F.lit("act_"), short_hash(ident)))
 
 
 # ------------------------------------------------------------------------------- parameters
@@ -291,11 +306,11 @@ def locators(pages: DataFrame) -> DataFrame:
 def action_graph(actions: DataFrame, fp: DataFrame) -> DataFrame:
     """Edges between page templates: type of action, and how many actions support them.
 
-    Actions are counted per source template and target before the join, so a target that a
-    third of all links lead to arrives as one row per source template. Targets that were not
-    seen as pages stand for themselves by host and path pattern.
+    Actions (with their page's template) are counted per source template and target before the
+    join, so a target that a third of all links lead to arrives as one row per source template.
+    Targets that were not seen as pages stand for themselves by host and path pattern.
     """
-    src = actions.select("page_id", "type", "target").join(fp.select("page_id", F.col("template").alias("src")), "page_id")
+    src = actions.select(F.col("template").alias("src"), "type", "target")
     counted = src.groupBy("src", "type", "target").agg(F.count("*").alias("n"))
     pages = fp.groupBy("url").agg(F.min("template").alias("dst"))
     j = counted.join(pages, counted["target"] == pages["url"], "left")

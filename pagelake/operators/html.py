@@ -24,22 +24,31 @@ TOKEN = (
 ATTRIBUTE = r"""\s([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 
 
-def page_partitions(pages: DataFrame, bytes_per_task: int = 32 << 20) -> int:
-    """Number of page partitions: from the size Spark estimates for the scan, at least the session's own."""
+MAX_PARTITIONS = 40_000
+
+
+def page_partitions(pages: DataFrame, bytes_per_task: int = 128 << 20) -> int:
+    """Number of page partitions: from the size Spark estimates for the scan, at least the session's own.
+
+    The cap keeps the number of shuffle blocks of a 100 TB exchange in hand; beyond it tasks get
+    larger (2.5 GB of compressed pages at 100 TB) and sort by spilling.
+    """
     spark = pages.sparkSession
     size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unknown = size > 1 << 60  # no statistics, e.g. rows handed over by the driver
-    return least if unknown else max(least, math.ceil(size / bytes_per_task))
+    return least if unknown else max(least, min(MAX_PARTITIONS, math.ceil(size / bytes_per_task)))
 
 
 def tokens(pages: DataFrame, partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per lexical piece in document order; row 0 of each page stands for the page itself.
 
     ``carry`` columns (base URL, options) travel on row 0 only. Pages without html keep row 0.
+    ``partitions`` 0 takes the pages as they are clustered, for tables bucketed by ``page_id``:
+    Spark then plans no exchange at all.
     """
     carry = carry or []
-    spread = pages.repartition(partitions or page_partitions(pages), "page_id")
+    spread = pages if partitions == 0 else pages.repartition(partitions or page_partitions(pages), "page_id")
     none = F.array().cast("array<string>")
     spread = spread.select(
         "page_id", *carry, F.coalesce(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)), none).alias("pieces")

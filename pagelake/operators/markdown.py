@@ -22,28 +22,39 @@ _SP, _NL, _TB = "", "", ""
 _HINT = r"""^([a-zA-Z][a-zA-Z0-9]*)?(?:([#.])([A-Za-z0-9_-]+)|\[([A-Za-z0-9_-]+)(?:(\*?=)["']?([^"'\]]*)["']?)?\])?$"""
 
 
+def parse_hint(hint: Column) -> Column:
+    """Parts of a selector ``tag``, ``#id``, ``.class``, ``tag.class``, ``[a]``, ``[a=v]`` or ``[a*=v]``; null otherwise."""
+    part = lambda i, n: F.regexp_extract(hint, _HINT, i).alias(n)
+    parsed = F.struct(
+        F.lower(part(1, "tag")).alias("tag"), part(2, "mark"), part(3, "name"), F.lower(part(4, "attr")).alias("attr"),
+        part(5, "op"), part(6, "value"),
+    )
+    return F.when(hint.rlike(_HINT) & (hint != ""), parsed)
+
+
 def matches_hint(hint: Column, tag: Column, attrs: Column) -> Column:
-    """Whether an element matches ``tag``, ``#id``, ``.class``, ``tag.class``, ``[a]``, ``[a=v]`` or ``[a*=v]``."""
-    part = lambda i: F.regexp_extract(hint, _HINT, i)
-    t, mark, name, attr, op, value = (part(i) for i in range(1, 7))
+    """Whether an element matches a parsed selector."""
     by_mark = (
-        F.when(mark == "#", attrs["id"] == name)
-        .when(mark == ".", F.array_contains(F.split(attrs["class"], r"[ \t\n\r\f]+"), name))
+        F.when(hint["mark"] == "#", attrs["id"] == hint["name"])
+        .when(hint["mark"] == ".", F.array_contains(F.split(attrs["class"], r"[ \t\n\r\f]+"), hint["name"]))
         .otherwise(F.lit(True))
     )
-    got = F.element_at(attrs, F.lower(attr))
+    got = F.element_at(attrs, hint["attr"])
     by_attr = (
-        F.when(attr == "", F.lit(True))
-        .when(op == "=", got == value)
-        .when(op == "*=", got.contains(value))
+        F.when(hint["attr"] == "", F.lit(True))
+        .when(hint["op"] == "=", got == hint["value"])
+        .when(hint["op"] == "*=", got.contains(hint["value"]))
         .otherwise(got.isNotNull())
     )
-    usable = hint.rlike(_HINT) & (hint != "")
-    return F.coalesce(usable & ((t == "") | (tag == F.lower(t))) & by_mark & by_attr, F.lit(False))
+    match = ((hint["tag"] == "") | (tag == hint["tag"])) & by_mark & by_attr
+    return F.when(hint.isNotNull(), F.coalesce(match, F.lit(False))).otherwise(False)
 
 
 def with_main(nd: DataFrame, hint: str | None = None) -> DataFrame:
-    """Add ``main`` (position interval of the chosen block) and ``main_rule`` to the events of each page."""
+    """Add ``main`` (position interval of the chosen block) and ``main_rule`` to the events of each page.
+
+    ``hint`` names a carried column with a parsed selector.
+    """
     page = W.partitionBy("page_id")
     tag, attrs = F.col("tag"), F.col("attrs")
     el = (F.col("side") == 0) & (F.col("kind") == "open") & ~F.col("dropped")
@@ -113,7 +124,7 @@ def piece_text(link_end: Column | None = None) -> Column:
     """Markdown text an event contributes; ``link_end`` replaces the usual inline target of a link."""
     tag, kind, s0 = F.col("tag"), F.col("kind"), F.col("side") == 0
     attrs = F.col("attrs")
-    plain = F.regexp_replace("txt", "[ \t\r\n\f]+", " ")
+    plain = squeezed(F.col("txt"))
     kept = F.translate(F.col("txt"), " \n\t\r", _SP + _NL + _TB)
     level = F.substring(tag, 2, 1).cast("int")
     row_cells = F.col("cells") - F.col("begin.cells")
@@ -151,16 +162,41 @@ def piece_text(link_end: Column | None = None) -> Column:
     )
 
 
-def normalise(md: Column) -> Column:
-    """Clean assembled pieces; then at most one blank line, then no blanks at line ends."""
+def _rewrite(md: Column, marks: list[str], pattern: str, to: str) -> Column:
+    """Replace by pattern, but only where one of ``marks`` occurs: most pages need few of the rewrites."""
+    cond = md.contains(marks[0])
+    for m in marks[1:]:
+        cond = cond | md.contains(m)
+    return F.when(cond, F.regexp_replace(md, pattern, to)).otherwise(md)
+
+
+def squeezed(c: Column) -> Column:
+    """Runs of white space as one blank."""
+    return _rewrite(c, ["\n", "  ", "\t", "\r", "\f"], "[ \t\r\n\f]+", " ")
+
+
+def normalise(df: DataFrame) -> DataFrame:
+    """Clean the assembled ``markdown``; then at most one blank line, then no blanks at line ends.
+
+    One column step per rewrite, so that a text is read again only by the rewrites it needs.
+    """
+    steps = []
     for start, end, mark in ((_B0, _B1, "**"), (_I0, _I1, "*")):
-        md = F.regexp_replace(md, start + r"(\s*)", "$1" + mark)
-        md = F.regexp_replace(md, r"(\s*)" + end, mark + "$1")
-    md = F.regexp_replace(md, r" +", " ")
-    md = F.regexp_replace(md, r" ?\n ?", "\n")
-    md = F.translate(md, _SP + _NL + _TB, " \n\t")
-    md = F.regexp_replace(md, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(md, r"[ \t]+\n", "\n"))
+        steps.append(lambda m, x=start, t=mark: _rewrite(m, [x], x + r"(\s*)", "$1" + t))
+        steps.append(lambda m, x=end, t=mark: _rewrite(m, [x], r"(\s*)" + x, t + "$1"))
+    steps += [
+        lambda m: _rewrite(m, ["  "], " +", " "),
+        lambda m: F.replace(F.replace(m, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")),
+        lambda m: F.when(
+            m.contains(_SP) | m.contains(_NL) | m.contains(_TB), F.translate(m, _SP + _NL + _TB, " \n\t")
+        ).otherwise(m),
+        lambda m: _rewrite(m, ["\n\n\n"], r"\n{3,}", "\n\n"),
+        lambda m: _rewrite(m, [" \n", "\t\n"], r"[ \t]+\n", "\n"),
+        strip,
+    ]
+    for step in steps:
+        df = df.withColumn("markdown", step(F.col("markdown")))
+    return df
 
 
 def content_piece(link_end: Column | None = None) -> Column:
@@ -173,7 +209,7 @@ def content_piece(link_end: Column | None = None) -> Column:
 
 
 def joined(pieces: Column) -> Column:
-    return normalise(F.array_join(F.transform(F.sort_array(pieces), lambda x: x["piece"]), ""))
+    return F.array_join(F.transform(F.sort_array(pieces), lambda x: x["piece"]), "")
 
 
 def reference_links(pages: DataFrame, max_rows: int = 50) -> DataFrame:
@@ -201,7 +237,7 @@ def reference_links(pages: DataFrame, max_rows: int = 50) -> DataFrame:
     mark = F.struct("at", (-F.col("pos")).alias("neg"), F.lit("\n| … |").alias("piece"))
     piece = F.when(cut & inside, mark).when(~over, shown)
     refs = F.array_sort(F.collect_set(F.when(F.col("href").isNotNull() & ~over, F.struct("ref", "href"))))
-    g = nd.groupBy("page_id").agg(joined(F.collect_list(piece)).alias("markdown"), refs.alias("refs"))
+    g = normalise(nd.groupBy("page_id").agg(joined(F.collect_list(piece)).alias("markdown"), refs.alias("refs")))
     listed = F.array_join(
         F.transform("refs", lambda r: F.concat(F.lit("["), r["ref"].cast("string"), F.lit("]: "), r["href"])), "\n"
     )
@@ -224,6 +260,8 @@ def truncate(df: DataFrame, max_tokens: str | int) -> DataFrame:
 
 def main_content(pages: DataFrame, hint: str | None = None) -> DataFrame:
     """The block chosen on each page: rule, tag and content length (null tag when the whole page is taken)."""
+    if hint:
+        pages = pages.withColumn(hint, parse_hint(F.col(hint)))
     nd = with_main(H.nodes(pages, carry=[hint] if hint else []), hint)
     at_main = (F.col("side") == 0) & (F.col("kind") == "open") & (F.col("pos") == F.col("main.pos"))
     return nd.groupBy("page_id").agg(

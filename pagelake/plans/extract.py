@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.functions import urls
 from pagelake.functions.text import token_estimate
 from pagelake.operators import actions as A
+from pagelake.operators import contracts as K
 from pagelake.operators import html as H
 from pagelake.operators import markdown as M
 from pagelake.operators import routing as R
@@ -17,37 +19,53 @@ ACTIONS = (
 )
 
 
-def extract(pages: DataFrame, payload: list[str], partitions: int | None = None, with_actions: bool = True) -> DataFrame:
+def extract(
+    pages: DataFrame, payload: list[str], partitions: int | None = None, with_actions: bool = True,
+    with_template: bool = False,
+) -> DataFrame:
     """Markdown and ranked actions per page, from one exchange of the pages.
 
     ``pages`` has page_id, base (URL links resolve against) and html; optional columns
     ``selector_hint`` and ``max_tokens`` apply per page. ``payload`` columns come back with the
-    result. Markdown is assembled in the same aggregate that collects the elements, and rides
+    result; ``with_template`` adds domain and template. Markdown is assembled in the same aggregate that collects the elements, and rides
     on the page's own row while actions are worked out, so nothing is computed twice or joined.
     """
-    for name, kind in (("selector_hint", "string"), ("max_tokens", "int")):
-        if name not in pages.columns:
-            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    hint = "selector_hint" if "selector_hint" in pages.columns else None
+    if "max_tokens" not in pages.columns:
+        pages = pages.withColumn("max_tokens", F.lit(None).cast("int"))
     pages = pages.withColumn("host_rule", A.needs_host_search(pages.withColumn("url", F.col("base"))))
-    pages = pages.select(
-        "page_id", "html", F.struct("base", "host_rule", "max_tokens", *payload).alias("page"), "selector_hint"
-    )
-    nd = M.with_main(H.nodes(pages, carry=["page", "selector_hint"], partitions=partitions), "selector_hint")
+    page = F.struct("base", "host_rule", "max_tokens", *payload).alias("page")
+    hints = [M.parse_hint(F.col(hint)).alias(hint)] if hint else []
+    nd = H.nodes(pages.select("page_id", "html", page, *hints), ["page", hint] if hint else ["page"], partitions)
+    nd = M.with_main(nd, hint)
     aggs = [F.max("page").alias("page"), M.joined(F.collect_list(M.content_piece())).alias("markdown")]
     if with_actions:
         aggs += [M.collected_texts(), A.element_fields()]
-    pr = nd.groupBy("page_id").agg(*aggs)
+    if with_template:
+        aggs.append(K.shape().alias("shape"))
+    pr = M.normalise(nd.groupBy("page_id").agg(*aggs))
     pr = M.truncate(pr, "page.max_tokens")
+    kept = ["markdown", "truncated", *[F.col(f"page.{c}").alias(c) for c in payload]]
+    if with_template:
+        base = F.col("page.base")
+        kept += [urls.netloc(base).alias("domain"), K.template(F.col("shape"), base).alias("template")]
     if not with_actions:
-        return pr.select("page_id", *[F.col(f"page.{c}").alias(c) for c in payload], "markdown", "truncated")
+        return pr.select("page_id", *kept)
     pr = pr.select(
         "page_id", F.col("page.base").alias("base"), F.col("page.host_rule").alias("host_rule"), "texts", "els",
-        F.struct("markdown", "truncated", *[F.col(f"page.{c}").alias(c) for c in payload]).alias("payload"),
+        F.struct(*kept).alias("payload"),
     )
     out = A.collected(A.candidates(pr))
     return out.select("page_id", "payload.*", F.col("actions").cast(ACTIONS).alias("actions"))
 
 
+def action_rows(extracted: DataFrame, *keep: str) -> DataFrame:
+    """One row per action of ``extract``'s result, ranked from 1."""
+    return extracted.select("page_id", *keep, F.posexplode("actions").alias("rank", "a")).select(
+        "page_id", *keep, (F.col("rank") + 1).alias("rank"), "a.*"
+    )
+
+
 def with_threads(extracted: DataFrame, pages: DataFrame) -> DataFrame:
     """Replace the Markdown of forum pages by their thread Markdown."""
     t = M.thread_markdown(pages).withColumnRenamed("markdown", "thread_md")
@@ -66,7 +84,7 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     for name, value in _OPTIONS.items():
         have = F.col(name) if name in requests.columns else F.lit(None)
         requests = requests.withColumn(name, F.coalesce(have, F.lit(value)))
-    for name, kind in (("transport", "string"), ("selector_hint", "string"), ("max_tokens", "int"), ("wait_selector", "string")):
+    for name, kind in (("transport", "string"), ("wait_selector", "string")):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast(kind))
     return requests
@@ -99,7 +117,7 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
             "r_elapsed": F.lit(None).cast("double"),
         }))
     r = renders
-    for name, kind in (("failure", "string"), ("wait_selector", "string"), ("timeout_ms", "int"), ("selector_hint", "string"), ("max_tokens", "int")):
+    for name, kind in (("failure", "string"), ("wait_selector", "string"), ("timeout_ms", "int")):
         if name not in r.columns:
             r = r.withColumn(name, F.lit(None).cast(kind))
     r = R.classify_render(r).withColumns({"signals": R.page_signals(F.col("html")), "base": F.col("final_url")})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -24,6 +25,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table written to the shared folder, for plans that read them more than once.
+
+    Later jobs start from the files, so a lost executor costs no recomputation.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local(cpus: str = "*") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -45,6 +45,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+def bucket_pages(pages: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Store pages as a table bucketed by page, so that later extractions need no exchange."""
+    pages.write.mode("overwrite").bucketBy(buckets, "page_id").sortBy("page_id").saveAsTable(name)
+    return pages.sparkSession.table(name)
+
+
 def load_fetches(spark: SparkSession, path: str) -> DataFrame:
     """Logged fetches with their snapshots; a missing status means 200."""
     df = spark.read.schema(FETCHES).parquet(path)
@@ -122,31 +128,26 @@ def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
-def response_json(responses: DataFrame) -> DataFrame:
+def response_json(responses: DataFrame, *keep: str) -> DataFrame:
     """One JSON text per response; null fields are written out."""
-    keep = [c for c in ("markdown", "actions", "meta", "error") if c in responses.columns]
-    return responses.select("page_id", F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}).alias("json"))
+    parts = [c for c in ("markdown", "actions", "meta", "error") if c in responses.columns]
+    return responses.select("page_id", *keep, F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_responses(responses: DataFrame, path: str, fmt: str = "parquet", by_host: bool = True, spread: int = 32) -> None:
-    """Write responses, one folder per host.
+def write_responses(responses: DataFrame, path: str, fmt: str = "parquet", spread: int = 32) -> None:
+    """Write responses as parquet or as JSON texts, one folder per host.
 
     Rows go to (host, page bucket) writers, so a host with a third of all pages is written by
     ``spread`` tasks and small hosts make few files.
     """
-    out = responses.withColumn("host", urls.netloc(F.col("meta.url"))) if by_host else responses
-    if fmt == "json":
-        keep = ["host"] if by_host else []
-        out = response_json(responses).join(out.select("page_id", *keep), "page_id") if by_host else response_json(responses)
-        out = out.select(F.col("json").alias("value"), *keep, "page_id")
-    if by_host:
-        out = out.repartition("host", F.pmod(F.xxhash64("page_id"), F.lit(spread)))
+    out = responses.withColumn("host", urls.netloc(F.col("meta.url"))).repartition(
+        "host", F.pmod(F.xxhash64("page_id"), F.lit(spread))
+    )
     if fmt == "json":
-        w = out.drop("page_id").write.mode("overwrite")
-        (w.partitionBy("host") if by_host else w).text(path)
+        out = response_json(out, "host").select("host", F.col("json").alias("value"))
+        out.write.mode("overwrite").partitionBy("host").text(path)
     else:
-        w = out.write.mode("overwrite")
-        (w.partitionBy("host") if by_host else w).parquet(path)
+        out.write.mode("overwrite").partitionBy("host").parquet(path)
 
 
 def history_rows(responses: DataFrame, created_at: Column, options_hash: Column) -> DataFrame:
