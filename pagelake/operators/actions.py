@@ -143,7 +143,13 @@ def units(el: DataFrame) -> DataFrame:
         (F.coalesce(F.col("a.type"), F.lit("text")) == "search") | F.coalesce(name, F.lit("")).rlike(rules.SEARCH)
     )
     lone = ~tag.isin("form", "legend") & ~(part & ~tag.isin("a"))
-    el = el.withColumns({"unit": unit, "pname": F.when(param, name)}).where("unit is not null")
+    el = el.withColumns(
+        {
+            "unit": unit, "pname": F.when(param, name), "is_submit": submit, "is_shown": shown, "is_searchy": searchy,
+            "is_lone": lone, "is_form": tag == "form", "is_legend": part & (tag == "legend"),
+        }
+    ).where("unit is not null")
+    param, submit, searchy, lone = F.col("pname").isNotNull(), F.col("is_submit"), F.col("is_searchy"), F.col("is_lone")
     value = F.struct(
         F.coalesce(F.col("a.type"), F.lit("text")).alias("type"),
         F.col("label").alias("label"),
@@ -157,11 +163,11 @@ def units(el: DataFrame) -> DataFrame:
         F.min(F.when(param, F.col("pos"))).alias("first_pos"),
         F.max(F.when(param, F.struct("pos", value.alias("v")))).alias("last"),
         F.max("base").alias("base"),
-        F.max(F.when(tag == "form", F.struct(F.col("a.action").alias("action"), F.col("a.method").alias("method")))).alias("form"),
+        F.max(F.when(F.col("is_form"), F.struct(F.col("a.action").alias("action"), F.col("a.method").alias("method")))).alias("form"),
         F.min(F.when(submit, F.struct("pos", "label"))).alias("submit"),
-        F.min(F.when(part & (tag == "legend"), F.struct("pos", "text"))).alias("legend"),
+        F.min(F.when(F.col("is_legend"), F.struct("pos", "text"))).alias("legend"),
         F.min(F.when(searchy, F.struct("pos", "label"))).alias("search_field"),
-        F.max(shown).alias("shown"),
+        F.max("is_shown").alias("shown"),
         F.max(F.when(lone, F.struct(
             "tag", "label", F.col("a.href").alias("href"), F.col("a.onclick").alias("onclick"),
             F.col("a.role").alias("role"), "in_nav", "host_rule"))).alias("lone"),
@@ -288,8 +294,9 @@ def candidates(page_rows: DataFrame) -> DataFrame:
     src = F.when(tag == "form", 0).when(tag == "a", 1).when(tag == "button", 2).when(tag == "input", 3).otherwise(4)
     load = [F.col(c) for c in ("payload", "near_price") if c in u.columns]
     kept = ok | (F.col("tag") == "#page") if "payload" in u.columns else ok
-    out = u.where(kept).select(
-        "page_id", src.alias("src"), "pos", F.coalesce(noise, F.lit(False)).alias("noise"), kind.alias("type"),
+    # The condition is applied behind the next window: pushed down, it would repeat the expressions it is made of.
+    out = u.select(
+        "page_id", F.coalesce(kept, F.lit(False)).alias("_ok"), src.alias("src"), "pos", F.coalesce(noise, F.lit(False)).alias("noise"), kind.alias("type"),
         "label", target.alias("target"), method.alias("method"), "parameters", description.alias("description"),
         "base", F.col("lone.host_rule").alias("host_rule"), *load,
     )
@@ -302,12 +309,11 @@ def _host_search(c: DataFrame) -> DataFrame:
     blob = F.concat_ws(" ", "label", "description", "target")
     # Only pages a host rule calls for need the test.
     c = c.withColumn("_ruled", F.max("host_rule").over(page))
-    hit = F.col("_ruled").isNotNull() & (F.col("src") < 4) & ~F.col("noise") & (blob.rlike(rules.SEARCH) | _any_search_key())
+    hit = F.col("_ok") & F.col("_ruled").isNotNull() & (F.col("src") < 4) & ~F.col("noise") & (blob.rlike(rules.SEARCH) | _any_search_key())
     c = c.withColumn("_searched", F.max(F.coalesce(hit, F.lit(False))).over(page))
     keep = "payload" in c.columns
     c = c.withColumn("host_rule", F.when(~F.col("_searched"), F.col("host_rule")))
-    if not keep:
-        c = c.where((F.col("src") < 4) | F.col("host_rule").isNotNull())
+    c = c.where("_ok") if keep else c.where(F.col("_ok") & ((F.col("src") < 4) | F.col("host_rule").isNotNull()))
     host_path = F.lit(None).cast("string")
     host_label = F.lit(None).cast("string")
     for i, (_, _, p, lab) in enumerate(rules.HOST_SEARCH_RULES, 1):
@@ -327,7 +333,7 @@ def _host_search(c: DataFrame) -> DataFrame:
             "parameters": F.when(rule, q).otherwise(F.col("parameters")),
             "description": F.when(rule, F.lit("Submit a search query and load matching products.")).otherwise(F.col("description")),
         }
-    ).drop("_searched", "_ruled", "host_rule", "base")
+    ).drop("_ok", "_searched", "_ruled", "host_rule", "base")
 
 
 def action_key() -> Column:

@@ -100,13 +100,9 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
     f = R.classify_fetch(with_defaults(fetches))
     if renders is None:
         f = f.withColumn("render", F.lit("never"))
-    html = F.when(F.col("render") != "always", F.col("html")) if renders is not None else F.col("html")
-    f = f.withColumns(
-        {
-            "html": html,
-            "fetch_error": F.when(F.col("render") != "always", F.col("fetch_error")) if renders is not None else F.col("fetch_error"),
-        }
-    )
+    # A page that is always rendered is not fetched first.
+    got = F.col("render") != "always"
+    f = f.withColumns({c: F.when(got, F.col(c)) for c in ("html", "fetch_error", "elapsed_ms")})
     f = f.withColumns({"signals": R.page_signals(F.col("html")), "base": F.col("final_url")})
     carry = ["url", "final_url", "render", "actions_mode", "include_actions", "status_code", "elapsed_ms", "fetch_error", "signals"]
     n = H.page_partitions(f)
