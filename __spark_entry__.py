@@ -645,6 +645,18 @@ def minimal_profiles(spark, sf):
     return K.minimal_profile(K.action_ids(a)).select("page_id", "name", "description", "parameters", "execution")
 
 
+@query
+def full_profiles(spark, sf):
+    p = D.pages_aug(spark, sf).withColumn("base", F.col("url"))
+    a = X.action_rows(X.extract(p, ["url"], with_template=True), "url", "domain", "template")
+    g = K.guarded(K.action_ids(a).withColumn("near_price", F.lit(False)))
+    f = K.full_profile(g.withColumns({"source_url": F.col("url"), "created_at": F.lit("2024-01-01 00:00:00").cast("timestamp")}))
+    return f.select(
+        "page_id", "name", "execution", "verification", "effect", "requires_confirm", "source_url", F.col("http.method").alias("method"),
+        F.col("http.url_template").alias("url_template"), F.array_join("http.passthrough", ",").alias("passthrough"), micros("expires_at"),
+    )
+
+
 @query
 def invokable_actions(spark, sf):
     """Probed actions without anything to confirm."""

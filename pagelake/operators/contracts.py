@@ -359,6 +359,29 @@ def minimal_profile(actions: DataFrame) -> DataFrame:
     )
 
 
+def full_profile(actions: DataFrame, life: str = "interval 1 day") -> DataFrame:
+    """The whole contract: minimal profile, guard results, HTTP form, source and end of life.
+
+    ``actions`` come from ``guarded`` with action_id, source_url and created_at.
+    """
+    http = F.when(
+        F.col("type") != "button",
+        F.struct(
+            "method",
+            F.col("target").alias("url_template"),
+            F.when(F.col("method") == "POST", "application/x-www-form-urlencoded").alias("content_type"),
+            F.filter(F.map_keys("parameters"), lambda k: F.element_at("parameters", k)["type"] == "hidden").alias("passthrough"),
+        ),
+    )
+    return actions.select(
+        "page_id", F.col("action_id").alias("id"), action_name(F.col("label")).alias("name"), "description", "parameters",
+        F.when(F.col("type") == "button", "browser").otherwise("http").alias("execution"),
+        http.alias("http"), "verification", F.col("confidence_cap").alias("confidence"), "effect",
+        F.col("effect").isin("mutating", "presumed_mutating").alias("requires_confirm"),
+        "source_url", (F.col("created_at") + F.expr(life)).alias("expires_at"),
+    )
+
+
 def auto_invokable(actions: DataFrame) -> DataFrame:
     """Actions an agent may call by itself: verified, and nothing to confirm."""
     return actions.where((F.col("verification") == "verified") & ~F.col("requires_confirm"))

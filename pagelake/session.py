@@ -17,11 +17,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is set (tests, laptops)."""
-    jsc = spark.sparkContext._jsc.sc()
+    """Shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagelake-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagelake-"))
     return jsc.getCheckpointDir().get()
 
 
@@ -42,6 +44,8 @@ def local(cpus: str = "*") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the Python call site of every column expression costs most of the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
