@@ -114,7 +114,7 @@ def _with_options(el: DataFrame) -> DataFrame:
     keep = [c for c in el.columns if c not in ("page_id", "select_pos")]
     el = el.where((~option) | (in_select & (F.col("a.value") != "")))
     g = el.groupBy("page_id", F.when(option, F.col("select_pos")).otherwise(F.col("pos")).alias("_unit")).agg(
-        F.max(F.when(~option, F.struct(*keep))).alias("r"),
+        F.any_value(F.when(~option, F.struct(*keep)), F.lit(True)).alias("r"),
         F.transform(
             F.slice(F.sort_array(F.collect_list(F.when(option, F.struct("pos", "text")))), 1, rules.MAX_OPTIONS),
             lambda x: x["text"],
@@ -156,7 +156,7 @@ def units(el: DataFrame) -> DataFrame:
         F.when(F.col("a.required"), F.lit(True)).alias("required"),
         F.when(tag == "select", F.col("options")).alias("options"),
     )
-    payload = [F.max("payload").alias("payload")] if "payload" in el.columns else []
+    payload = [F.any_value("payload", F.lit(True)).alias("payload")] if "payload" in el.columns else []
     if "near_price" in el.schema["a"].dataType.names:
         payload.append(F.max(F.when(submit | lone, F.col("a.near_price"))).alias("near_price"))
     by_name = el.groupBy("page_id", "unit", "pname").agg(
@@ -186,7 +186,7 @@ def units(el: DataFrame) -> DataFrame:
         F.min("search_field").alias("search_field"),
         F.coalesce(F.max("shown"), F.lit(False)).alias("shown"),
         F.max("lone").alias("lone"),
-        *[F.max(c).alias(c) for c in ("payload", "near_price") if c in by_name.columns],
+        *[F.any_value(c, F.lit(True)).alias(c) if c == "payload" else F.max(c).alias(c) for c in ("payload", "near_price") if c in by_name.columns],
     )
 
 
@@ -383,7 +383,7 @@ def collected(c: DataFrame, k: int = rules.MAX_ACTIONS) -> DataFrame:
     d = d.withColumn("rank", F.row_number().over(order))
     item = F.struct("type", "label", "target", "method", "parameters", "description")
     return d.groupBy("page_id").agg(
-        F.max("payload").alias("payload"),
+        F.any_value("payload", F.lit(True)).alias("payload"),
         F.transform(
             F.array_sort(
                 F.collect_list(F.when(own & (F.col("rank") <= k), F.struct("rank", item.alias("a")))),

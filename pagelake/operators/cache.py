@@ -12,7 +12,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,16 +57,16 @@ def cache_keys(requests: DataFrame, content: str = "markdown") -> DataFrame:
     )
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replay rows sorted by key and time; the open entry is all that is kept between rows.
 
     A row with ``carried`` set is not a request but the entry a key brings along.
     """
     key, expires, stored = None, _NEVER, _NEVER
-    for pdf in batches:
+    for batch in batches:
         hit, keep, since = [], [], []
-        rows = zip(pdf["key"].tolist(), pdf["us"].tolist(), pdf["ttl_us"].tolist(), pdf["storable"].tolist(), pdf["carried"].tolist())
-        for k, us, ttl, storable, carried in rows:
+        columns = [batch.column(c).to_pylist() for c in ("key", "us", "ttl_us", "storable", "carried")]
+        for k, us, ttl, storable, carried in zip(*columns):
             if k != key:
                 key, expires, stored = k, _NEVER, _NEVER
             if carried:
@@ -77,8 +78,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if put:
                 expires, stored = us + ttl, us
             hit.append(fresh), keep.append(put), since.append(stored if fresh or put else _NEVER)
-        out = pdf.assign(hit=hit, stored=keep, stored_us=since)
-        yield out[~out["carried"].astype(bool)]
+        marks = [pa.array(hit, pa.bool_()), pa.array(keep, pa.bool_()), pa.array(since, pa.int64())]
+        out = pa.RecordBatch.from_arrays(batch.columns + marks, names=batch.schema.names + ["hit", "stored", "stored_us"])
+        yield out.filter(pa.compute.invert(out.column("carried")))
 
 
 def _with_marks(schema: T.StructType) -> T.StructType:
@@ -93,7 +95,7 @@ def _replay_sorted(rows: DataFrame) -> DataFrame:
     if "carried" not in rows.columns:
         rows = rows.withColumn("carried", F.lit(False))
     ordered = rows.repartition("key").sortWithinPartitions("key", F.desc("carried"), "us", "id")
-    return ordered.mapInPandas(_scan, _with_marks(rows.schema)).drop("carried")
+    return ordered.mapInArrow(_scan, _with_marks(rows.schema)).drop("carried")
 
 
 def cache_replay(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -143,7 +145,7 @@ def _replay_hot(rows: DataFrame, hot_rows: int) -> DataFrame:
     rows.repartitionByRange("us", "key").sortWithinPartitions("us").write.parquet(f"{folder}/rows")
     table = spark.read.parquet(f"{folder}/rows")
     width = table.agg(F.min("ttl_us")).first()[0]
-    table = table.withColumn("slice", F.floor(F.col("us") / F.lit(width)))
+    table = table.withColumn("slice", F.expr(f"(us - pmod(us, {width}L)) div {width}L"))
     load = table.groupBy("slice", "key").count().groupBy("slice").agg(F.max("count").alias("n")).orderBy("slice")
     waves, first, last, total = [], None, None, 0
     for slice_, n in load.toLocalIterator():

@@ -28,16 +28,16 @@ MAX_PARTITIONS = 40_000
 
 
 def page_partitions(pages: DataFrame, bytes_per_task: int = 128 << 20) -> int:
-    """Number of page partitions: from the size Spark estimates for the scan, at least the session's own.
+    """Number of page partitions: from the size of the files read, at least the session's own number.
 
     The cap keeps the number of shuffle blocks of a 100 TB exchange in hand; beyond it tasks get
     larger (2.5 GB of compressed pages at 100 TB) and sort by spilling.
     """
-    spark = pages.sparkSession
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    unknown = size > 1 << 60  # no statistics, e.g. rows handed over by the driver
-    return least if unknown else max(least, min(MAX_PARTITIONS, math.ceil(size / bytes_per_task)))
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # rows handed over by the driver have no size
+    return max(least, min(MAX_PARTITIONS, math.ceil(known / bytes_per_task)))
 
 
 def tokens(pages: DataFrame, partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:

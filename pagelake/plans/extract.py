@@ -38,7 +38,7 @@ def extract(
     hints = [M.parse_hint(F.col(hint)).alias(hint)] if hint else []
     nd = H.nodes(pages.select("page_id", "html", page, *hints), ["page", hint] if hint else ["page"], partitions)
     nd = M.with_main(nd, hint)
-    aggs = [F.max("page").alias("page"), M.joined(F.collect_list(M.content_piece())).alias("markdown")]
+    aggs = [F.any_value("page", F.lit(True)).alias("page"), M.joined(F.collect_list(M.content_piece())).alias("markdown")]
     if with_actions:
         aggs += [M.collected_texts(), A.element_fields()]
     if with_template:
