@@ -447,17 +447,24 @@ def tools(actions: DataFrame) -> DataFrame:
     )
 
 
-def suppressed(page_rows_: DataFrame, k: int = rules.MAX_ACTIONS) -> DataFrame:
-    """Candidates that are not offered, with the first reason that applies."""
-    d = dedupe(candidates(page_rows_))
-    d = d.withColumn("rank_class", rank_class())
+def suppressed(page_rows_: DataFrame, k: int = rules.MAX_ACTIONS, effects: DataFrame | None = None) -> DataFrame:
+    """Candidates that are not offered, with the first reason that applies.
+
+    ``effects`` (page_id, action_key, effect), where probes were logged, adds actions found dead.
+    """
+    d = dedupe(candidates(page_rows_)).withColumn("rank_class", rank_class())
     kept = ~F.col("noise") & (F.col("nth") == 1)
     order = W.partitionBy("page_id", kept).orderBy("rank_class", "label", "src", "pos")
     d = d.withColumn("_r", F.row_number().over(order))
+    if effects is None:
+        d = d.withColumn("effect", F.lit(None).cast("string"))
+    else:
+        d = d.join(effects.select("page_id", "action_key", "effect"), ["page_id", "action_key"], "left")
     reason = (
         F.when(F.col("noise"), "noise")
         .when(F.col("nth") > 1, "duplicate")
         .when(F.col("label").rlike(rules.DESTRUCTIVE_NAME), "destructive")
+        .when(F.col("effect") == "dead", "dead")
         .when(F.col("_r") > k, "low_confidence")
     )
     return d.withColumn("reason", reason).where("reason is not null").select(

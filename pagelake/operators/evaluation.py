@@ -169,6 +169,17 @@ def exit_criteria(results: DataFrame, timings: DataFrame, p50_limit_ms: float =
     )
 
 
+def unsafe_probes(actions: DataFrame) -> DataFrame:
+    """Per page the actions that were probed and verified although they need confirmation; a gate wants none.
+
+    ``actions`` has page_id, probed, verification, requires_confirm.
+    """
+    bad = F.col("probed") & (F.col("verification") == "verified") & F.col("requires_confirm")
+    return actions.groupBy("page_id").agg(F.sum(F.coalesce(bad, F.lit(False)).cast("int")).alias("unsafe")).withColumn(
+        "gate_ok", F.col("unsafe") == 0
+    )
+
+
 def stability(before: DataFrame, after: DataFrame) -> DataFrame:
     """Action keys of two extractions of the same pages (both: page_id, action_key): kept, lost, new."""
     b = before.select("page_id", "action_key").distinct().withColumn("b", F.lit(True))

@@ -28,12 +28,13 @@ MAX_PARTITIONS = 40_000
 
 
 def page_partitions(pages: DataFrame, bytes_per_task: int = 128 << 20) -> int:
-    """Number of page partitions: from the size of the files read, at least the session's own number.
+    """Number of page partitions: from the size of the files read; small inputs use the cores at hand.
 
     The cap keeps the number of shuffle blocks of a 100 TB exchange in hand; beyond it tasks get
     larger (2.5 GB of compressed pages at 100 TB) and sort by spilling.
     """
-    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = pages.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)  # rows handed over by the driver have no size

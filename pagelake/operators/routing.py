@@ -143,3 +143,15 @@ def domain_hints(responses: DataFrame, share: float = 0.5, least: int = 1) -> Da
             F.when(F.col("blocked") * 2 > F.col("pages"), "render_with_proxy").when(F.col("requires_js"), "render").otherwise("static"),
         )
     )
+
+
+def with_hints(fetches: DataFrame, hints: DataFrame) -> DataFrame:
+    """Give new fetches the strategy learned for their host; unknown hosts start static.
+
+    ``hints`` has one row per host, so nothing multiplies; Spark broadcasts it while it is small
+    and splits the partition of a host with very many fetches otherwise (adaptive skew join).
+    """
+    f = fetches.withColumn("host", urls.netloc(F.col("url")))
+    return f.join(hints.select("host", F.col("strategy").alias("hint")), "host", "left").withColumn(
+        "hint", F.coalesce("hint", F.lit("static"))
+    ).drop("host")

@@ -139,3 +139,30 @@ def test_page_stream(spark, sf, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("page_id", "markdown", F.size("actions").alias("n"))
     want = X.extract(p, ["url"]).select("page_id", "markdown", F.size("actions").alias("n"))
     assert got.exceptAll(want).count() == 0 and got.count() == 250
+
+
+def test_hints_dead_actions_and_unsafe_probes(spark, make_pages):
+    from pagelake.operators import actions as A
+
+    seen = spark.createDataFrame([("https://a/1", "render", None), ("https://a/2", "render", None), ("https://b/1", "static", "bot_detection"), ("https://c/1", "static", None)], "url string, extraction_path string, error_code string")
+    new = spark.createDataFrame([("https://a/9",), ("https://b/9",), ("https://c/9",), ("https://d/9",)], "url string")
+    got = {r.url: r.hint for r in R.with_hints(new, R.domain_hints(seen)).collect()}
+    assert got == {"https://a/9": "render", "https://b/9": "render_with_proxy", "https://c/9": "static", "https://d/9": "static"}
+    p = make_pages((1, "https://a.example/", '<a href="/x">One link</a><a href="/y">Two link</a>'))
+    dead = A.top_actions(p).where("label = 'Two link'").select("page_id", "action_key", F.lit("dead").alias("effect"))
+    assert [(r.label, r.reason) for r in A.suppressed(A.page_rows(p), effects=dead).collect()] == [("Two link", "dead")]
+    acts = spark.createDataFrame([(1, True, "verified", True), (1, True, "verified", False), (2, False, "inferred", True)], "page_id long, probed boolean, verification string, requires_confirm boolean")
+    assert {r.page_id: r.gate_ok for r in E.unsafe_probes(acts).collect()} == {1: False, 2: True}
+
+
+def test_fallback_confidence_tiers_and_lookup(spark):
+    c = spark.createDataFrame([
+        (1, "link", "Go on", "GET", "https://a/x", "Follow link to 'Go on'.", False, 1, False), (2, "button", "Delete", "GET", "https://a/", "Click", False, 1, False),
+        (3, "form", "Pay", "POST", "https://a/payment", "Submit", False, 1, False), (4, "form", "Add", "POST", "https://a/x", "Submit", False, 1, True),
+        (5, "button", "Odd", "GET", "https://a/", "Click", False, 1, False), (6, "link", "cookie", "GET", "https://a/", "x", True, 1, False), (7, "link", "Go on", "GET", "https://a/x", "x", False, 2, False),
+    ], "page_id long, type string, label string, method string, target string, description string, noise boolean, nth int, near_price boolean")
+    g = K.guarded(c)
+    assert {r.page_id: (r.rule, r.effect) for r in g.collect()} == {
+        1: (None, "navigate"), 2: ("name", "presumed_mutating"), 3: ("name", "presumed_mutating"), 4: ("price_nearby", "presumed_mutating"), 5: (None, "local"), 6: (None, "navigate"), 7: (None, "navigate")}
+    tiers = {m: [r.tier for r in K.tier(g, m).orderBy("page_id").collect()] for m in ("fast", "verified")}
+    assert tiers["verified"] == ["t0_http", "ignore", "ignore", "ignore", "t2_browser", "ignore", "ignore"] and tiers["fast"][4] == "t1_light_dom"
