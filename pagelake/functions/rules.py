@@ -59,6 +59,18 @@ LOCAL_ONCLICK = (
 LOCATION_HREF = r"""location\.href\s*=\s*['"]([^'"]+)"""
 MAX_ACTIONS = 15
 MAX_OPTIONS = 20
+# Descriptions of actions; %s are label, method and target, or the section name.
+DESCRIBE_SEARCH = "Submit a search query and load matching results."
+DESCRIBE_HOST_SEARCH = "Submit a search query and load matching products."
+DESCRIBE_FORM = "Submit the '%s' form (%s %s)."
+DESCRIBE_SECTION = "Switch to in-page section '%s' (local DOM effect)."
+DESCRIBE_LOCAL_LINK = "Activate '%s' for a local in-page UI change."
+DESCRIBE_PAGINATION = "Navigate to '%s' (pagination)."
+DESCRIBE_NAVIGATION = "Navigate via site navigation to '%s'."
+DESCRIBE_LINK = "Follow link to '%s'."
+DESCRIBE_LOCAL_BUTTON = "Click '%s' to trigger a local in-page UI change."
+DESCRIBE_BUTTON = "Click the '%s' button (may trigger in-page JS)."
+DESCRIBE_SUBMIT = "Activate '%s' control."
 # host, pattern the page must show, path of the search form, label
 HOST_SEARCH_RULES = [
     ("books.toscrape.com", r"(?i:oscar\.search\.init)|product_pod", "/catalogue/search", "Search"),
@@ -74,6 +86,24 @@ APP_SHELL = r"""(?i)<div[^>]+id=["'](?:root|app|__next)["'][^>]*>\s*</div>"""
 SHELL_MIN_TEXT = 200
 SHORT_MARKDOWN = 80
 
+# ---------------------------------------------------------------- fixed values: fetch and render errors
+FETCH_ERRORS = {  # code: (message, recoverable); %s is the time limit, the reason or the status
+    "timeout": ("Request timed out after %sms", True),
+    "redirect_loop": ("Too many redirects", False),
+    "network_error": ("%s", True),
+    "http_429": ("Rate limited by target", True),
+    "http_5xx": ("Target returned HTTP %s", True),
+    "http_4xx": ("Target returned HTTP %s", False),
+}
+RENDER_ERRORS = {  # code: (message, recoverable); %s is the selector, the time limit or the reason
+    "js_rendering_unavailable": ("No browser is available to render pages", False),
+    "js_wait_timeout": ("Selector '%s' not found within timeout", True),
+    "js_navigation_timeout": ("Browser navigation timed out after %sms", True),
+    "js_rendering_failed": ("Browser rendering failed: %s", True),
+    "js_empty_document": ("Browser returned an empty document", True),
+}
+EMPTY_DOCUMENT_CHARS = 50
+
 # ---------------------------------------------------------------- fixed values: content errors
 PAYWALL = (
     r"(?i)subscribe to (?:read|continue)|sign in to read|members only|"
@@ -101,6 +131,21 @@ ACTION_NAME_PATTERNS = [
     ("manage_preferences", r"(?i)manage.*pref|cookie.*pref"),
 ]
 
+CHECK_MESSAGES = {  # in check order
+    "error": "unexpected error: %s — %s",
+    "min_tokens": "markdown tokens %s < min %s",
+    "must_contain": "markdown missing substring: %s",
+    "must_not_contain": "markdown must not contain: %s",
+    "code_fence": "markdown missing code fence",
+    "path": "extraction_path %s != expected %s",
+    "min_count": "actions count %s < min %s",
+    "max_count": "actions count %s > max %s",
+    "must_include": "missing action: %s",
+    "must_not_include": "unexpected action present: %s",
+    "local_effect": "no action with local/DOM effect found",
+}
+SKIPPED_REASON = "e2e multi-step flow not run in dashboard batch"
+
 # ---------------------------------------------------------------- fixed values: contracts
 DESTRUCTIVE_NAME = r"(?i)buy|purchase|pay|delete|confirm|submit order"
 SENSITIVE_PATH = r"(?i)checkout|payment|order|delete"

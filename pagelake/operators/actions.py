@@ -275,20 +275,20 @@ def candidates(page_rows: DataFrame) -> DataFrame:
         .when((tag == "button") & F.col("jump").isNotNull(), F.col("resolved"))
         .otherwise(base)
     )
-    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    say = F.format_string
+    section = F.coalesce(truthy(F.substring(href, 2, 1 << 20)), label)
+    in_nav = F.col("lone.in_nav") | F.coalesce(F.col("lone.role") == "menuitem", F.lit(False))
     description = (
-        F.when((tag == "form") & F.col("is_search"), "Submit a search query and load matching results.")
-        .when(tag == "form", q("Submit the '", label, "' form (", method, " ", F.col("resolved"), ")."))
-        .when((tag == "a") & hash_link, q(
-            "Switch to in-page section '", F.coalesce(truthy(F.substring(href, 2, 1 << 20)), label), "' (local DOM effect)."))
-        .when((tag == "a") & onclick_local, q("Activate '", label, "' for a local in-page UI change."))
-        .when((tag == "a") & label.rlike(rules.PAGINATION), q("Navigate to '", label, "' (pagination)."))
-        .when((tag == "a") & (F.col("lone.in_nav") | F.coalesce(F.col("lone.role") == "menuitem", F.lit(False))),
-              q("Navigate via site navigation to '", label, "'."))
-        .when(tag == "a", q("Follow link to '", label, "'."))
-        .when((tag == "button") & F.col("jump").isNull() & onclick_local, q("Click '", label, "' to trigger a local in-page UI change."))
-        .when(tag == "button", q("Click the '", label, "' button (may trigger in-page JS)."))
-        .otherwise(q("Activate '", label, "' control."))
+        F.when((tag == "form") & F.col("is_search"), rules.DESCRIBE_SEARCH)
+        .when(tag == "form", say(rules.DESCRIBE_FORM, label, method, F.col("resolved")))
+        .when((tag == "a") & hash_link, say(rules.DESCRIBE_SECTION, section))
+        .when((tag == "a") & onclick_local, say(rules.DESCRIBE_LOCAL_LINK, label))
+        .when((tag == "a") & label.rlike(rules.PAGINATION), say(rules.DESCRIBE_PAGINATION, label))
+        .when((tag == "a") & in_nav, say(rules.DESCRIBE_NAVIGATION, label))
+        .when(tag == "a", say(rules.DESCRIBE_LINK, label))
+        .when((tag == "button") & F.col("jump").isNull() & onclick_local, say(rules.DESCRIBE_LOCAL_BUTTON, label))
+        .when(tag == "button", say(rules.DESCRIBE_BUTTON, label))
+        .otherwise(say(rules.DESCRIBE_SUBMIT, label))
     )
     kind = F.when(tag == "form", "form").when(tag == "a", "link").when(tag == "#page", "form").otherwise("button")
     src = F.when(tag == "form", 0).when(tag == "a", 1).when(tag == "button", 2).when(tag == "input", 3).otherwise(4)
@@ -331,7 +331,7 @@ def _host_search(c: DataFrame) -> DataFrame:
             "label": F.when(rule, host_label).otherwise(F.col("label")),
             "target": F.when(rule, urls.resolve_parts(host_path, F.col("base"))).otherwise(F.col("target")),
             "parameters": F.when(rule, q).otherwise(F.col("parameters")),
-            "description": F.when(rule, F.lit("Submit a search query and load matching products.")).otherwise(F.col("description")),
+            "description": F.when(rule, F.lit(rules.DESCRIBE_HOST_SEARCH)).otherwise(F.col("description")),
         }
     ).drop("_ok", "_searched", "_ruled", "host_rule", "base")
 

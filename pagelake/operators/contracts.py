@@ -199,7 +199,7 @@ def effects(net: DataFrame, nav: DataFrame, dom: DataFrame) -> DataFrame:
         F.col("url").rlike(rules.STATIC_ASSET) | urls.netloc(F.col("url")).rlike(rules.ANALYTICS_HOST)
         | (F.coalesce(F.col("bytes"), F.lit(1 << 30)) < rules.BEACON_MAX_BYTES)
     )
-    no, yes = F.lit(False), F.lit(True)
+    no = F.lit(False)
     flags = lambda nav_, mut, qry, dlg, loc: [
         "candidate_id", nav_.alias("nav"), mut.alias("mut"), qry.alias("qry"), dlg.alias("dlg"), loc.alias("loc")
     ]
@@ -210,7 +210,6 @@ def effects(net: DataFrame, nav: DataFrame, dom: DataFrame) -> DataFrame:
         .unionByName(nav.select(*flags(F.col("from_url") != F.col("to_url"), no, no, no, no)))
         .unionByName(dom.select(*flags(no, no, no, F.col("dialog_opened"), (F.col("added") + F.col("removed")) > 0)))
     )
-    del yes
     g = log.groupBy("candidate_id").agg(*[F.max(c).alias(c) for c in ("nav", "mut", "qry", "dlg", "loc")])
     changed = F.col("loc") | F.col("dlg")
     effect = (

@@ -52,19 +52,20 @@ def _checks() -> Column:
     one = lambda cond, msg: F.array(F.when(F.coalesce(cond, F.lit(False)), msg))
     each = lambda arr, bad, msg: F.transform(F.coalesce(arr, none), lambda n: F.when(bad(n), msg(n)))
     local = F.exists(acts, lambda a: F.lower(F.coalesce(a["description"], F.lit(""))).contains("local"))
+    say = lambda check, *args: F.format_string(rules.CHECK_MESSAGES[check], *args) if args else F.lit(rules.CHECK_MESSAGES[check])
     parts = [
         one(F.col("x.expect_no_error") & F.col("error").isNotNull(),
-            _say("unexpected error: ", quoted(F.col("error.code")), " — ", F.coalesce("error.message", F.lit("")))),
-        one(words < xm["min_tokens"], _say("markdown tokens ", words, " < min ", xm["min_tokens"])),
-        each(xm["must_contain"], lambda n: ~md.contains(n), lambda n: _say("markdown missing substring: ", quoted(n))),
-        each(xm["must_not_contain"], lambda n: md.contains(n), lambda n: _say("markdown must not contain: ", quoted(n))),
-        one(xm["has_code_fence"] & ~md.contains("```"), F.lit("markdown missing code fence")),
-        one(xs.isin("static", "render") & ~path.eqNullSafe(xs), _say("extraction_path ", quoted(path), " != expected ", xs)),
-        one(count < xa["min_count"], _say("actions count ", count, " < min ", xa["min_count"])),
-        one(count > xa["max_count"], _say("actions count ", count, " > max ", xa["max_count"])),
-        each(xa["must_include_names"], lambda n: ~has_action(acts, n), lambda n: _say("missing action: ", n)),
-        each(xa["must_not_include_names"], lambda n: has_action(acts, n), lambda n: _say("unexpected action present: ", n)),
-        one((xa["must_include_effect"] == "local") & ~F.coalesce(local, F.lit(False)), F.lit("no action with local/DOM effect found")),
+            say("error", quoted(F.col("error.code")), F.coalesce("error.message", F.lit("")))),
+        one(words < xm["min_tokens"], say("min_tokens", words, xm["min_tokens"])),
+        each(xm["must_contain"], lambda n: ~md.contains(n), lambda n: say("must_contain", quoted(n))),
+        each(xm["must_not_contain"], lambda n: md.contains(n), lambda n: say("must_not_contain", quoted(n))),
+        one(xm["has_code_fence"] & ~md.contains("```"), say("code_fence")),
+        one(xs.isin("static", "render") & ~path.eqNullSafe(xs), say("path", quoted(path), xs)),
+        one(count < xa["min_count"], say("min_count", count, xa["min_count"])),
+        one(count > xa["max_count"], say("max_count", count, xa["max_count"])),
+        each(xa["must_include_names"], lambda n: ~has_action(acts, n), lambda n: say("must_include", n)),
+        each(xa["must_not_include_names"], lambda n: has_action(acts, n), lambda n: say("must_not_include", n)),
+        one((xa["must_include_effect"] == "local") & ~F.coalesce(local, F.lit(False)), say("local_effect")),
     ]
     return F.filter(F.concat(*parts), lambda m: m.isNotNull())
 
@@ -112,7 +113,7 @@ def evaluate(fixtures: DataFrame, responses: DataFrame) -> DataFrame:
     shown = lambda c: F.when(F.col("_ok"), c)
     return j.select(
         "id", "name", "url", "category", status.alias("status"),
-        F.when(F.col("e2e"), "e2e multi-step flow not run in dashboard batch").alias("skipped_reason"),
+        F.when(F.col("e2e"), rules.SKIPPED_REASON).alias("skipped_reason"),
         shown(F.col("meta.extraction_path")).alias("extraction_path"),
         shown(F.coalesce(F.size("response_actions"), F.lit(0))).alias("action_count"),
         shown(F.length("markdown")).alias("markdown_length"),

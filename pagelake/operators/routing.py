@@ -16,19 +16,24 @@ def error(code, message, recoverable) -> Column:
     return F.struct(col(code).alias("code"), col(message).alias("message"), col(recoverable).alias("recoverable")).cast(ERROR)
 
 
+def _listed(table: dict, rule: str, *args: Column, code: Column | None = None) -> Column:
+    """Error of a table of fixed values, its message filled with ``args``."""
+    message, recoverable = table[rule]
+    return error(rule if code is None else code, F.format_string(message, *args) if args else message, recoverable)
+
+
 def fetch_error() -> Column:
     """Error of a logged fetch, from ``transport`` (null when a response came) and ``status_code``."""
     status, transport = F.col("status_code"), F.col("transport")
     http = F.concat(F.lit("http_"), status.cast("string"))
-    said = F.concat(F.lit("Target returned HTTP "), status.cast("string"))
-    waited = F.concat(F.lit("Request timed out after "), F.col("timeout_ms").cast("string"), F.lit("ms"))
+    e = lambda *a, **k: _listed(rules.FETCH_ERRORS, *a, **k)
     return (
-        F.when(transport == "timeout", error("timeout", waited, True))
-        .when(transport == "redirect_loop", error("redirect_loop", "Too many redirects", False))
-        .when(transport.isNotNull(), error("network_error", transport, True))
-        .when(status == 429, error("http_429", "Rate limited by target", True))
-        .when(status >= 500, error(http, said, True))
-        .when(status >= 400, error(http, said, False))
+        F.when(transport == "timeout", e("timeout", F.col("timeout_ms")))
+        .when(transport == "redirect_loop", e("redirect_loop"))
+        .when(transport.isNotNull(), e("network_error", transport))
+        .when(status == 429, e("http_429"))
+        .when(status >= 500, e("http_5xx", status, code=http))
+        .when(status >= 400, e("http_4xx", status, code=http))
     )
 
 
@@ -41,18 +46,22 @@ def classify_fetch(fetches: DataFrame) -> DataFrame:
 def render_error() -> Column:
     """Error of a logged render, from ``failure`` (exception text or kind; null on success) and the html."""
     fail = F.col("failure")
-    waited = F.concat(F.lit("Browser navigation timed out after "), F.col("timeout_ms").cast("string"), F.lit("ms"))
-    missing = F.concat(F.lit("Selector '"), F.coalesce("wait_selector", F.lit("")), F.lit("' not found within timeout"))
-    short = F.length(strip(F.coalesce("html", F.lit("")))) < 50
+    short = F.length(strip(F.coalesce("html", F.lit("")))) < rules.EMPTY_DOCUMENT_CHARS
+    e = lambda *a: _listed(rules.RENDER_ERRORS, *a)
     return (
-        F.when(fail == "unavailable", error("js_rendering_unavailable", "No browser is available to render pages", False))
-        .when(fail == "wait_timeout", error("js_wait_timeout", missing, True))
-        .when(fail.contains("Timeout"), error("js_navigation_timeout", waited, True))
-        .when(fail.isNotNull(), error("js_rendering_failed", F.concat(F.lit("Browser rendering failed: "), fail), True))
-        .when(short, error("js_empty_document", "Browser returned an empty document", True))
+        F.when(fail == "unavailable", e("js_rendering_unavailable"))
+        .when(fail == "wait_timeout", e("js_wait_timeout", F.coalesce("wait_selector", F.lit(""))))
+        .when(fail.contains("Timeout"), e("js_navigation_timeout", F.col("timeout_ms")))
+        .when(fail.isNotNull(), e("js_rendering_failed", fail))
+        .when(short, e("js_empty_document"))
     )
 
 
+def missing_render() -> Column:
+    """Error of a page that needed rendering and has no rendered snapshot."""
+    return _listed(rules.RENDER_ERRORS, "js_rendering_failed", F.lit("no snapshot"))
+
+
 def classify_render(renders: DataFrame) -> DataFrame:
     r = renders.withColumn("render_error", render_error())
     return r.withColumn("html", F.when(F.col("render_error").isNull(), F.col("html")))

@@ -121,10 +121,9 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
     r = r.select("page_id", F.struct(*[c for c in r.columns if c != "page_id"]).alias("r"))
     j = s.join(r, "page_id", "left")
     need = R.needs_render(F.col("render"), F.col("signals"), F.col("markdown"))
-    missing = R.error("js_rendering_failed", "Browser rendering failed: no snapshot", True)
     j = j.withColumn("need", need)
     j = j.withColumn("used", F.col("need") & F.col("r").isNotNull() & F.col("r.render_error").isNull())
-    j = j.withColumn("render_error", F.when(F.col("need") & ~F.col("used"), F.coalesce("r.render_error", missing)))
+    j = j.withColumn("render_error", F.when(F.col("need") & ~F.col("used"), F.coalesce(F.col("r.render_error"), R.missing_render())))
     swap = {c: F.when(F.col("used"), F.col(f"r.{c}")).otherwise(F.col(c)) for c in ("markdown", "truncated", "final_url", "signals", "actions")}
     return _assemble(j.withColumns({**swap, "r_elapsed": F.when(F.col("used"), F.col("r.elapsed_ms"))}))
 
