@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.functions import rules, text, urls
+from pagelake.functions import text, urls
 from pagelake.operators import actions as A
 from pagelake.operators import cache as C
 from pagelake.operators import contracts as K

@@ -110,13 +110,15 @@ def cache_replay(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ).drop("ts")
     live = F.col("use_cache") & (F.col("ttl_us") > 0)
     rows = r.where(live)
-    # Keys beyond the limit: at most (number of rows / hot_rows) of them.
+    # Keys beyond the limit: at most (number of rows / hot_rows) of them, so this set and all per-key
+    # entries of the waves are small enough to broadcast, and no join moves the rows of a hot key.
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key")
     if hot.isEmpty():
         done = _replay_sorted(rows)
     else:
-        light = rows.join(hot, "key", "left_anti")
-        done = _replay_sorted(light).unionByName(_replay_hot(rows.join(hot, "key", "left_semi"), hot_rows))
+        light = rows.join(F.broadcast(hot), "key", "left_anti")
+        heavy = rows.join(F.broadcast(hot), "key", "left_semi")
+        done = _replay_sorted(light).unionByName(_replay_hot(heavy, hot_rows))
     marked = done.withColumn("outcome", F.when(F.col("hit"), "hit").otherwise("miss"))
     bypass = r.where(~live).withColumns(
         {"hit": F.lit(False), "stored": F.lit(False), "stored_us": F.lit(_NEVER).cast("long"), "outcome": F.lit("bypass")}
@@ -177,10 +179,10 @@ def _replay_hot(rows: DataFrame, hot_rows: int) -> DataFrame:
 def _replay_slice(part: DataFrame, state: DataFrame) -> DataFrame:
     """One slice in which a key stores at most once; rows of a key are never grouped."""
     open_until = state.select("key", F.col("us").alias("in_us"), (F.col("us") + F.col("ttl_us")).alias("in_expires"))
-    e = part.join(open_until, "key", "left").withColumn("in_expires", F.coalesce("in_expires", F.lit(_NEVER)))
+    e = part.join(F.broadcast(open_until), "key", "left").withColumn("in_expires", F.coalesce("in_expires", F.lit(_NEVER)))
     late = F.col("us") > F.col("in_expires")
     put = e.where(late & F.col("storable")).groupBy("key").agg(F.min(F.struct("us", "id", "ttl_us")).alias("put"))
-    e = e.join(put, "key", "left")
+    e = e.join(F.broadcast(put), "key", "left")
     stored = (F.col("put.us") == F.col("us")) & (F.col("put.id") == F.col("id"))
     after = F.struct("us", "id") > F.struct("put.us", "put.id")
     fresh = ~late | (F.col("put").isNotNull() & after)

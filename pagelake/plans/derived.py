@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.functions import urls
 from pagelake.sources.tables import EXPECTATIONS, table
 
 # Put before the article of a page, by page_id % 8.
