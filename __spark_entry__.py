@@ -677,11 +677,18 @@ def entry(spark: SparkSession) -> DataFrame:
     ).select("page_id", "url", "chars", "tokens", "rank", "a.type", "a.label", "a.target", "a.method", "a.description")
 
 
+# The operators for training data are a subpackage of their own; without it all else works.
+try:
+    from pagelake.llm import registry as llm
+except ImportError:
+    llm = None
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **(llm.QUERIES if llm else {})}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import oracle_sql as sql
 
-    return sql()
+    return {**sql(), **(llm.ORACLES if llm else {})}
