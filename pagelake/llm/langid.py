@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.common import slices
 
-CHARS, SAMPLE_ROWS, ROW_CHARS, ALPHABET, BLOCK = 16_000, 48, 1_200, 64, 256
+CHARS, SAMPLE_ROWS, ROW_CHARS, ALPHABET, BLOCK = 32_000, 200, 160, 64, 256
 
 
 class Model(NamedTuple):
