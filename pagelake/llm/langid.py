@@ -167,7 +167,7 @@ def train(rows: DataFrame, chars: int = CHARS, sample_rows: int = SAMPLE_ROWS) -
         return Model([], np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool), [], [])
     share = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, sample_rows / n))])
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    picked = rows.where(draw < share[F.col("lang")]).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, ROW_CHARS).alias("text"))
+    picked = rows.where(draw < share[F.col("lang")]).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, ROW_CHARS).alias("text")).distinct()
     samples: dict[str, list[str]] = {lang: [] for lang in have}
     seen = set()
     for r in picked.orderBy("h").limit(4 * sample_rows * len(have)).collect():

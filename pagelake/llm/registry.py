@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, langid, url_filter, warc
+from pagelake.llm import chat, langid, neardup, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,9 @@ WITH p AS (
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f
 """
+
+
+# ------------------------------------------------------------------------ near-duplicates
+@query
+def op7_near_duplicates(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
