@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from pagelake.llm.common import written
 
 
+def _both(e: DataFrame) -> DataFrame:
+    return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node hands the smallest node around it to its larger neighbours."""
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both(e)
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -23,13 +27,33 @@ def _small_star(e: DataFrame) -> DataFrame:
     return turned.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def hooked(links: DataFrame, steps: int = 2) -> DataFrame:
+    """node, comp after a few steps: every component takes the smallest one around it, then that one's smallest.
+
+    Labels stay inside the components of ``links``, but a component may still have several.
+    """
+    comp = None
+    for _ in range(steps):
+        e = _both(links)
+        if comp is not None:
+            one = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c"))
+            e = e.join(one("u"), "u").join(one("v"), "v").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+        low = written(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
+        up = low.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        step = low.join(up, "comp").select("node", F.col("top").alias("comp"))
+        if comp is not None:
+            step = comp.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp").select("node", F.col("top").alias("comp"))
+        comp = written(step)
+    return comp
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) of every node of ``links`` (u, v) but those that are their own smallest.
 
     Stars shrink in a number of steps that grows with the logarithm of the longest chain. Hubs are combined before they
     are shuffled; every step is written to the shared folder. Null ends and loops are ignored.
     """
-    e = written(links.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
+    e = links.select("u", "v").where("u is not null and v is not null and u <> v")
     mark = None
     while True:
         e = written(_small_star(_large_star(e)))

@@ -1,15 +1,15 @@
 """MinHash near-duplicates with an LSH forest: sorted signature orders, neighbours by longest common prefix.
 
-A signature of ``HASHES`` values is sorted in ``ORDERS`` orders, each starting at another value, by range partitions
-that split hot prefixes. Documents that stand together with ``DEPTH`` or more equal leading values form a region; a
-region of more than ``REGION`` documents is cut at deeper prefixes until its parts fit, so the depth follows how crowded
-the place is. Only candidates are compared whose signatures agree in ``AGREE`` of their values, and every link is
+A signature of ``HASHES`` values is sorted in ``ORDERS`` orders, each starting at another value. Documents that stand
+together with ``DEPTH`` or more equal leading values form a region; a region of more than ``REGION`` documents is dealt
+out by a longer prefix and cut at deeper ones until its parts fit, so the depth follows how crowded the place is. A pair
+cut apart in one order meets in others. Only candidates are compared whose signatures agree in ``AGREE`` of their values, and every link is
 confirmed on the full shingle sets.
 
 Regions are worked off in rounds, and links found so far join documents to components:
-1. every document with its better neighbour in each order and with the middle of its region (the document nearest to
-   the most frequent value at each place),
-2. twice, every document outside a region's largest component with its best candidate in each other component,
+1. every document with the best of its neighbours in the orders and the middles of its regions (the middle is the
+   document nearest to the most frequent value at each place of the signature),
+2. every document outside a region's largest component with its best candidate in another component,
 3. all candidates that are left between different components.
 Thus no pair inside a component is ever made, and no candidate between components is dropped.
 
@@ -30,9 +30,12 @@ from pagelake.llm import graph
 from pagelake.llm.common import U64, mix, partitions, slices, written
 from pagelake.llm.shingles import minhash, set_key, shingle_sets
 
-HASHES, ORDERS, DEPTH, MAX_DEPTH, REGION, AGREE = 256, 16, 3, 32, 4096, 0.75
+HASHES, ORDERS, DEPTH, MAX_DEPTH, REGION, AGREE = 256, 16, 3, 32, 4096, 0.76
 STEP = HASHES // ORDERS
 FACTORS = mix(np.arange(7000, 7000 + HASHES, dtype=U64)) | U64(1)
+#: Rounds of comparisons, in order.
+ROUNDS = ("first", "best", "rest")
+#: AGREE is four standard deviations of the estimate below the similarity of a link.
 #: Ids that may travel with a map task instead of a shuffle of the texts.
 SMALL_IDS = 1_000_000
 
@@ -60,20 +63,18 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", small: int =
     return df.join(F.broadcast(ids) if ids.count() <= small else ids, column, "left_semi")
 
 
-def _prefixes(nodes: DataFrame) -> DataFrame:
-    """doc_id, comp and a hash of each order's first values."""
-    heads = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * STEP * t + 1, 2 * DEPTH)) for t in range(ORDERS)])
-    return nodes.select("doc_id", "comp", F.explode(heads).alias("h"))
-
-
 def _crowded(nodes: DataFrame) -> DataFrame:
-    """Ids of documents that share a region with another component."""
-    p = _prefixes(nodes)
-    mixed = p.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("h")
-    return p.join(mixed, "h").select("doc_id").distinct()
+    """doc_id, ord, h, crowd: places where a document shares a region of an order with another component.
 
+    ``h`` names the region, ``crowd`` counts its documents.
+    """
+    heads = F.array(*[F.struct(F.lit(t).alias("ord"), F.xxhash64(F.lit(t), F.substring("sig", 2 * STEP * t + 1, 2 * DEPTH)).alias("h")) for t in range(ORDERS)])
+    p = nodes.select("doc_id", "comp", F.explode(heads).alias("x")).select("doc_id", "comp", "x.ord", "x.h")
+    mixed = p.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("crowd")).where("a <> b").select("h", "crowd")
+    return p.join(mixed, "h").select("doc_id", "ord", "h", "crowd")
 
-def _regions(label: np.ndarray, order: np.ndarray, lo: int, hi: int, lcp: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
+
+def _regions(lo: int, hi: int, lcp: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
     """Parts of the sorted rows ``lo`` to ``hi`` that share ``depth`` values, cut deeper where they are too large."""
     cuts = np.flatnonzero(lcp[lo + 1:hi] < depth) + lo + 1
     for a, b in zip(np.append(lo, cuts).tolist(), np.append(cuts, hi).tolist()):
@@ -82,7 +83,7 @@ def _regions(label: np.ndarray, order: np.ndarray, lo: int, hi: int, lcp: np.nda
         if b - a <= REGION:
             yield a, b
         elif depth < MAX_DEPTH:
-            yield from _regions(label, order, a, b, lcp, depth + 1)
+            yield from _regions(a, b, lcp, depth + 1)
         else:
             for x in range(a, b, REGION):
                 yield x, min(b, x + REGION)
@@ -96,55 +97,72 @@ def _middle(label: np.ndarray) -> int:
     return int(votes.argmax())
 
 
-def _pairs_in(label: np.ndarray, n: np.ndarray, comp: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows i, j and agreement of the candidates of one region."""
-    m = len(label)
+def _shared_before(x: np.ndarray, y: np.ndarray, order: int) -> np.ndarray:
+    """Whether two signatures, turned to ``order``, stand in one region of an earlier order too."""
+    out = np.zeros(len(x), bool)
+    for t in range(order):
+        at = (np.arange(DEPTH) + STEP * (t - order)) % HASHES
+        out |= (x[:, at] == y[:, at]).all(1)
+    return out
+
+
+def _pairs_in(rows: dict[str, np.ndarray], a: int, b: int, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j and agreement of the candidates of the region ``a`` to ``b``."""
+    label, n, comp, hot = (rows[c][a:b] for c in ("label", "n", "comp", "hot"))
+    m = b - a
     fits = lambda i, j: (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= 85 * np.maximum(n[i], n[j]))
     if mode == "first":
         i = np.arange(m - 1)
         agree = (label[1:] == label[:-1]).mean(1)
         agree = np.where((agree >= AGREE) & fits(i, i + 1), agree, 0.0)
         after, before = np.append(agree, 0.0), np.append(0.0, agree)
-        rows = np.flatnonzero(np.maximum(after, before) > 0)
-        to = np.where(after[rows] >= before[rows], rows + 1, rows - 1)
-        got = np.maximum(after, before)[rows]
-        if m > 4:
+        best = np.maximum(after, before)
+        to = np.where(after >= before, np.arange(m) + 1, np.arange(m) - 1)
+        if m > 4:  # the middle of the region, where it is as near
             c = _middle(label)
             near = (label == label[c]).mean(1)
-            k = np.flatnonzero((near >= AGREE) & fits(np.arange(m), np.full(m, c)))
-            rows, to, got = np.append(rows, k), np.append(to, np.full(len(k), c)), np.append(got, near[k])
-        return rows, to, got
+            near = np.where((near >= AGREE) & fits(np.arange(m), np.full(m, c)), near, 0.0)
+            to, best = np.where(near >= best - 0.05, c, to), np.maximum(best, near)
+        i = np.flatnonzero(best > 0)
+        return i, to[i], best[i]
     values, size = np.unique(comp, return_counts=True)
-    if len(values) == 1:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    outside = np.flatnonzero(comp != values[size.argmax()])
-    found = []
+    is_outside = comp != values[size.argmax()]
+    outside = np.flatnonzero(is_outside)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for part in np.array_split(outside, max(1, len(outside) * m // 40_000)):
         agree = (label[part][:, None, :] == label[None, :, :]).mean(2)
+        agree[~fits(part[:, None], np.arange(m)[None, :])] = 0
+        if mode == "best":
+            j = agree.argmax(1)
+            top = agree[np.arange(len(part)), j]
+            found.append((part[top >= AGREE], j[top >= AGREE], top[top >= AGREE]))
+            continue
+        agree[(np.arange(m)[None, :] < part[:, None]) & is_outside[None, :]] = 0  # such a pair comes from its other end
         i, j = np.nonzero(agree >= AGREE)
-        ok = fits(part[i], j)
-        found.append((part[i[ok]], j[ok], agree[i[ok], j[ok]]))
+        # A pair is made in the first order that has both in one region, if no crowded region is cut.
+        new = (hot[part[i]] & hot[j]) | ~_shared_before(label[part[i]], label[j], int(rows["ord"][a]))
+        found.append((part[i[new]], j[new], agree[i[new], j[new]]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _scan(mode: str):
     def emit(rows: dict[str, np.ndarray], lo: int, hi: int, lcp: np.ndarray) -> Iterator[pa.RecordBatch]:
         got = []
-        for a, b in _regions(rows["label"], rows["ord"], lo, hi, lcp, DEPTH):
-            i, j, agree = _pairs_in(rows["label"][a:b], rows["n"][a:b], rows["comp"][a:b], mode)
+        for a, b in _regions(lo, hi, lcp, DEPTH):
+            i, j, agree = _pairs_in(rows, a, b, mode)
             if len(i):
-                got.append((rows["doc_id"][a + i], rows["doc_id"][a + j], rows["comp"][a + j], agree))
+                got.append((rows["doc_id"][a + i], rows["doc_id"][a + j], agree))
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["i", "j", "comp_j", "agree"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["i", "j", "agree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "doc_id", "n", "comp")}
+            new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "ord", "hot", "doc_id", "n", "comp")}
             data = b.column("label")
-            new["label"] = np.frombuffer(data.buffers()[2], ">u2", b.num_rows * HASHES, data.offset * 2 * HASHES).reshape(-1, HASHES)
+            new["label"] = np.frombuffer(data.buffers()[2], np.uint16, b.num_rows * HASHES, data.offset * 2 * HASHES).reshape(-1, HASHES)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             lcp = _lcp(held)
             ends = np.flatnonzero(lcp < DEPTH)
@@ -161,21 +179,26 @@ def _scan(mode: str):
 
 def _lcp(rows: dict[str, np.ndarray]) -> np.ndarray:
     """Leading values a row shares with the row before, up to ``MAX_DEPTH``; the first row shares none."""
-    x, same = rows["label"][:, :MAX_DEPTH], rows["ord"][1:] == rows["ord"][:-1]
+    x, same = rows["label"][:, :MAX_DEPTH], rows["h"][1:] == rows["h"][:-1]
     equal = np.logical_and.accumulate(x[1:] == x[:-1], axis=1).sum(1) * same
     return np.append(0, equal)
 
 
-def candidates(nodes: DataFrame, mode: str) -> DataFrame:
-    """Pairs u < v of ``nodes`` (doc_id, n, comp, sig) in different components that one round compares."""
-    turns = F.array(*[F.struct(F.lit(t).alias("ord"), F.concat(F.substring("sig", 2 * STEP * t + 1, 2 * HASHES), F.substring("sig", 1, 2 * STEP * t)).alias("label")) for t in range(ORDERS)])
-    rows = nodes.select("doc_id", "n", "comp", F.explode(turns).alias("t")).select("t.ord", "t.label", "doc_id", "n", "comp")
-    rows = rows.repartitionByRange(partitions(nodes.sparkSession), "ord", "label", "doc_id").sortWithinPartitions("ord", "label", "doc_id")
-    c = rows.mapInArrow(_scan(mode), "i bigint, j bigint, comp_j bigint, agree double")
+def candidates(nodes: DataFrame, places: DataFrame, mode: str) -> DataFrame:
+    """Pairs u < v of ``nodes`` (doc_id, n, comp, sig) in different components that one round compares.
+
+    A region of more than ``REGION`` documents is spread over tasks by a longer prefix, the longer the more it holds.
+    """
+    hot = places.where(F.col("crowd") > REGION).select("doc_id").distinct().withColumn("hot", F.lit(True))
+    at = 2 * STEP * F.col("ord")
+    label = F.concat(F.substring("sig", at + 1, F.lit(2 * HASHES)), F.substring("sig", F.lit(1), at))
+    depth = F.least(F.when(F.col("crowd") <= REGION, DEPTH).otherwise(DEPTH + F.ceil(F.log(F.col("crowd") / REGION) * 4.5)), F.lit(MAX_DEPTH)).cast("int")
+    rows = places.join(nodes, "doc_id").join(hot, "doc_id", "left").select("h", "ord", F.coalesce("hot", F.lit(False)).alias("hot"), "doc_id", "n", "comp", label.alias("label"), depth.alias("depth"))
+    rows = rows.repartition(partitions(nodes.sparkSession), F.xxhash64("h", F.substring("label", F.lit(1), 2 * F.col("depth")))).drop("depth").sortWithinPartitions("h", "label", "doc_id")
+    c = rows.mapInArrow(_scan(mode), "i bigint, j bigint, agree double")
     if mode != "rest":
-        by = ["i", "comp_j"] if mode == "best" else ["i"]
-        c = c.groupBy(*by).agg(F.max(F.struct("agree", "j")).alias("x")).select("i", F.col("x.j").alias("j"))
-    return c.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()
+        c = c.groupBy("i").agg(F.max(F.struct("agree", "j")).alias("x")).select("i", F.col("x.j").alias("j"))
+    return c.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +214,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= 85 * union."""
     one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
-    return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "su", "sv").mapInArrow(_confirm, "u bigint, v bigint").distinct()
+    return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "su", "sv").mapInArrow(_confirm, "u bigint, v bigint")
 
 
 def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,23 +222,19 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary"))
     reps = sketch.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     nodes = sketch.where("n > 0").join(reps.distinct(), "doc_id", "left_semi").select("doc_id", "n", "sig")
-    first = nodes.select("doc_id", "n", "sig", F.col("doc_id").alias("comp"))
-    active = written(_crowded(first))
+    places = written(_crowded(nodes.select("doc_id", "sig", F.col("doc_id").alias("comp"))))
+    active = places.select("doc_id").distinct()
     nodes = written(only_ids(nodes, active))
-    sets = written(only_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), active).mapInArrow(_sets, "doc_id bigint, shingles binary"))
-    comp = None
-    links = tested = None
-    for mode in ("first", "best", "best", "rest"):
-        now = nodes.withColumn("comp", F.col("doc_id")) if comp is None else nodes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        if tested is not None:
-            now = written(now)
-            now = only_ids(now, _crowded(now))
-        pairs = candidates(now, mode)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        new = written(confirmed(pairs, sets))
+    sets = written(only_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), nodes).mapInArrow(_sets, "doc_id bigint, shingles binary"))
+    now = nodes.withColumn("comp", F.col("doc_id"))
+    links = comp = None
+    for mode in ROUNDS:
+        if comp is not None:
+            now = nodes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+            places = written(_crowded(now))
+        new = written(confirmed(written(candidates(now, places, mode)), sets))
         links = new if links is None else links.union(new)
-        comp = graph.components(links)
+        comp = graph.hooked(links) if mode != ROUNDS[-1] else graph.components(links)
     return sketch.drop("sig"), comp.select(F.col("node").alias("rep"), "comp")
 
 
