@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import chat, langid, neardup, url_filter, warc
+from pagelake.llm import ann, chat, langid, neardup, pii, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,18 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = fir
 @query
 def op7_near_duplicates(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# ------------------------------------------------------------------------ personal data
+@query
+def op5_personal_data(spark, sf):
+    p = pii.find(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return p.select("doc_id", *[n(kind) for kind in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+# ------------------------------------------------------------------------ nearest neighbours
+@query
+def op6_nearest(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(v, v.where("vec_id % 20 = 0"))
