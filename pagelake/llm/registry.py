@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ann, chat, langid, neardup, pii, url_filter, warc
+from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,26 @@ def op5_personal_data(spark, sf):
 def op6_nearest(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return ann.nearest(v, v.where("vec_id % 20 = 0"))
+
+
+# ------------------------------------------------------------------------ mixing
+#: Share of each domain in the token budget.
+SHARES = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("clean").alias("domain"))
+
+
+@query
+def op9_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    m = mixing.mix(docs, domain_labels(table(spark, sf, "labels")), SHARES, keep=["doc_id"])
+    p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(SHARES)]
+    return m.select("doc_id", "n_tokens", *p, "rate", "copies")
+
+
+# ------------------------------------------------------------------------ decontamination
+@query
+def op1_decontamination(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
