@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pagelake.session import checkpoint_dir, prepare, written  # noqa: F401
 
 U64 = np.uint64
-#: Bytes of text that one numpy step works on; longer single texts are worked on in blocks cut between words.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one numpy step works on, small enough to stay in a core's cache; longer single texts are worked on in blocks cut between words.
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts become hashed words. Passages of ``PASSAGE`` words, weighted by inverse passage frequency over all documents, make
-a matrix whose right singular vectors come from a distributed randomised SVD: two passes over all passages, whose sums
-(``BUCKETS`` by ``RANK``) are all that reaches the driver. Windows of every document, about as long as each item, are
+Texts become hashed words. Passages of ``PASSAGE`` words, weighted by inverse frequency over all documents, make
+a matrix whose right singular vectors come from a distributed randomised SVD: one pass over all passages, whose sketch
+(``BUCKETS`` by ``SKETCH``) is all that reaches the driver. Windows of every document, about as long as each item, are
 compared with the items by the cosine of their whitened latent vectors; windows at ``COSINE`` or more are candidates. A
 candidate counts when the longest common subsequence of words holds ``LCS`` of the item and ``ANSWER`` of the words of
 its last sentence (of its last third, if it has one sentence), so edited and reordered sentences are found, and passages
@@ -19,17 +19,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import NON_LETTERS, partitions, slices, words, written
 
-BUCKETS, RANK, PASSAGE, STRIDE = 8192, 64, 32, 4
-COSINE, LCS, ANSWER, SHORTEST, ITEMS = 0.5, 0.7, 0.6, 6, 5000
+BUCKETS, RANK, SKETCH, PASSAGE, STRIDE = 8192, 64, 128, 32, 4
+COMMON, COSINE, LCS, ANSWER, SHORTEST, ITEMS = 400, 0.55, 0.7, 0.6, 6, 5000
 #: Words of one text that are worked on at a time, with an overlap longer than any window.
-SEGMENT = 1 << 15
+SEGMENT = 1 << 12
 
 
 def _words_of(texts: list[str]) -> list[np.ndarray]:
@@ -75,7 +74,7 @@ def _summed(parts: DataFrame, width: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column("block").to_pylist(), b.column("cells")):
-                v = np.frombuffer(x.as_buffer(), np.float64)
+                v = np.frombuffer(x.as_buffer(), np.float32)
                 total[k] = total[k] + v if k in total else v
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "cells"])
@@ -83,75 +82,59 @@ def _summed(parts: DataFrame, width: int) -> np.ndarray:
     rows = parts.repartition(partitions(parts.sparkSession), "block").mapInArrow(add, "block int, cells binary").collect()
     out = np.zeros((BUCKETS, width))
     for r in rows:
-        v = np.frombuffer(r.cells, np.float64).reshape(-1, width)
+        v = np.frombuffer(r.cells, np.float32).reshape(-1, width)
         out[r.block * len(v):(r.block + 1) * len(v)] = v
     return out
 
 
 def _blocks(cells: np.ndarray) -> pa.RecordBatch:
     parts = np.split(cells, 64)
-    return pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.astype(np.float64).tobytes() for p in parts], pa.binary())], ["block", "cells"])
+    return pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["block", "cells"])
 
 
-def passage_frequency(hashed: DataFrame) -> np.ndarray:
-    """Passages that hold each bucket (column 0); in row 0 of column 1 the number of passages."""
+def word_counts(hashed: DataFrame) -> np.ndarray:
+    """Occurrences of each bucket in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((BUCKETS, 2))
-        for w, of in _passages(batches):
-            n[:, 0] += np.bincount(np.unique(of.astype(np.int64) * BUCKETS + w) % BUCKETS, minlength=BUCKETS)
-            n[0, 1] += of[-1] + 1
+        n = np.zeros((BUCKETS, 1))
+        for w, _ in _passages(batches):
+            n[:, 0] += np.bincount(w, minlength=BUCKETS)
         yield _blocks(n)
 
-    return _summed(hashed.select("words").mapInArrow(run, "block int, cells binary"), 2)
+    return _summed(hashed.select("words").mapInArrow(run, "block int, cells binary"), 1)[:, 0]
 
 
-def _rows_times(w: np.ndarray, of: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF passages times ``basis``, and the weight of every word in its passage."""
-    weight = idf[w]
-    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    norm = np.sqrt(np.add.reduceat(weight * weight, first))
-    weight = weight / np.maximum(norm, 1e-9)[np.cumsum(np.append(False, of[1:] != of[:-1]))]
-    return np.add.reduceat(basis[w] * weight[:, None].astype(basis.dtype), first, axis=0), weight
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """Inverse frequency; buckets that hold more than one word in ``COMMON`` weigh nothing."""
+    return np.maximum(0.0, np.log((1 + counts.sum()) / (1 + counts)) - np.log(COMMON))
 
 
 def latent_basis(hashed: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """BUCKETS by rank: right singular vectors over the singular values (whitened), by a randomised range finder."""
-    spark = hashed.sparkSession
-    start = spark.sparkContext.broadcast((idf, np.random.default_rng(seed).standard_normal((BUCKETS, rank)).astype(np.float32)))
+    """BUCKETS by rank: right singular vectors over the singular values (whitened), by a randomised SVD.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, basis = start.value
-        z = np.zeros((BUCKETS, rank))
-        for w, of in _passages(batches):
-            y, weight = _rows_times(w, of, weights, basis)
-            at = np.cumsum(np.append(False, of[1:] != of[:-1]))
-            order = np.argsort(w, kind="stable")
-            sw = w[order]
-            first = np.flatnonzero(np.append(True, sw[1:] != sw[:-1]))
-            z[sw[first]] += np.add.reduceat(y[at[order]] * weight[order][:, None].astype(np.float32), first, axis=0)
-        yield _blocks(z)
-
-    z = _summed(hashed.select("words").mapInArrow(spread, "block int, cells binary"), rank)
-    q = np.linalg.qr(z)[0]
-    range_of = spark.sparkContext.broadcast((idf, q.astype(np.float32)))
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        weights, basis = range_of.value
-        g = np.zeros((rank, rank))
+    Every unit TF-IDF passage is added, with a random sign, to one of ``SKETCH`` random rows. The few rows have, in
+    expectation, the Gram matrix of all passages, and their SVD gives its strongest directions in one pass.
+    """
+    weights = hashed.sparkSession.sparkContext.broadcast(idf)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        z = np.zeros(BUCKETS * SKETCH)
         for w, of in _passages(batches):
-            y = _rows_times(w, of, weights, basis)[0].astype(np.float64)
-            g += y.T @ y
-        i, j = np.meshgrid(range(rank), range(rank), indexing="ij")
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(g.ravel())], ["i", "j", "v"])
+            weight = weights.value[w]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            n = np.diff(np.append(first, len(of)))
+            norm = np.sqrt(np.add.reduceat(weight * weight, first))
+            sign = rng.choice((-1.0, 1.0), len(first)) / np.maximum(norm, 1e-9)
+            np.add.at(z, w.astype(np.int64) * SKETCH + np.repeat(rng.integers(0, SKETCH, len(first)), n), weight * np.repeat(sign, n))
+        yield _blocks(z.reshape(BUCKETS, SKETCH))
 
-    g = np.zeros((rank, rank))
-    for r in hashed.select("words").mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        g[r.i, r.j] = r.v
-    value, vector = np.linalg.eigh(g)
-    value = np.maximum(value, 0)
-    strong = value > 1e-9 * max(1e-30, value.max())
-    return (q @ vector[:, strong]) / np.sqrt(value[strong])[None, :]
+    z = _summed(hashed.select("words").mapInArrow(sketch, "block int, cells binary"), SKETCH)
+    u, value, _ = np.linalg.svd(z, full_matrices=False)
+    strong = value[:rank] > 1e-6 * max(1e-30, value[0])
+    return u[:, :rank][:, strong] / value[:rank][strong][None, :]
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -178,12 +161,9 @@ def answer_text(text: str) -> str:
     return " ".join(parts[len(parts) * 2 // 3:])
 
 
-def _sizes(n: int) -> int:
-    """Window length for an item of ``n`` words: a multiple of the stride, at most a quarter longer steps for long items."""
-    step = STRIDE
-    while step * 8 < n:
-        step *= 2
-    return max(step, (n + step // 2) // step * step)
+def _size(n: int) -> int:
+    """Window length for an item of ``n`` words: 12, 24, 48, ... whichever is nearest as a ratio."""
+    return int(12 * 2 ** max(0, round(np.log2(n / 12))))
 
 
 class Items:
@@ -192,47 +172,74 @@ class Items:
         self.idf, self.weighted = idf, (basis * idf[:, None]).astype(np.float32)
         keep = [k for k, w in enumerate(hashed) if len(w) >= SHORTEST]
         self.ids, self.words, self.answers = [ids[k] for k in keep], [hashed[k] for k in keep], [answers[k] for k in keep]
+        self.sets = [frozenset(w.tolist()) for w in self.words]
+        # One more row for the filling between texts.
+        self.weighted = np.append(self.weighted, np.zeros((1, basis.shape[1]), np.float32), axis=0)
         latent = np.array([self.weighted[w % BUCKETS].sum(0) for w in self.words]).reshape(-1, basis.shape[1])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]).astype(np.float32)
-        self.by_size: dict[int, np.ndarray] = {}
-        for s in sorted({_sizes(len(w)) for w in self.words}):
-            self.by_size[s] = np.array([k for k, w in enumerate(self.words) if _sizes(len(w)) == s])
-
-    def matches(self, w: np.ndarray) -> dict[int, tuple[float, float, float]]:
-        """item: cosine, LCS share and answer share of the best match in a text."""
-        found: dict[int, tuple[float, float, float]] = {}
-        widest = 4 * max([STRIDE, *self.by_size])
-        for lo in range(0, max(1, len(w)), SEGMENT):
-            self._segment(w[max(0, lo - widest):lo + SEGMENT], found)
+        size = np.array([_size(len(w)) for w in self.words])
+        self.by_size = {int(s): np.flatnonzero(size == s) for s in np.unique(size)}
+        self.widest = 2 * max([STRIDE, *self.by_size])
+
+    def pieces(self, texts: list[np.ndarray]) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """Texts, long ones in overlapping parts, in groups of about ``SEGMENT`` words."""
+        held, size = [], 0
+        for t, w in enumerate(texts):
+            for lo in range(0, len(w), SEGMENT):
+                part = w[max(0, lo - self.widest):lo + SEGMENT]
+                held.append((t, part))
+                size += len(part)
+                if size >= SEGMENT:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def matches(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """(text, item): cosine, LCS share and answer share of the best match."""
+        found: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for group in self.pieces(texts):
+            self._group(group, found)
         return found
 
-    def _segment(self, w: np.ndarray, found: dict[int, tuple[float, float, float]]) -> None:
-        if not len(w):
-            return
-        rows = self.weighted[w % BUCKETS]
-        steps = np.add.reduceat(rows, np.arange(0, len(w), STRIDE), axis=0)
-        run = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(steps, axis=0, dtype=np.float64)])
+    def _group(self, group: list[tuple[int, np.ndarray]], found: dict) -> None:
+        filled = [-(-len(p) // STRIDE) * STRIDE for _, p in group]
+        begin = np.concatenate([[0], np.cumsum(filled)])
+        tail = max([STRIDE, *self.by_size])
+        w = np.full(int(begin[-1]) + tail, BUCKETS, np.int64)
+        for b, (_, p) in zip(begin.tolist(), group):
+            w[b:b + len(p)] = p % BUCKETS
+        steps = self.weighted[w[0::STRIDE]]
+        for k in range(1, STRIDE):
+            steps += self.weighted[w[k::STRIDE]]
+        run = np.concatenate([np.zeros((1, steps.shape[1]), np.float32), np.cumsum(steps, axis=0)])
         for size, items in self.by_size.items():
-            n, jump = size // STRIDE, max(1, size // (8 * STRIDE))
-            at = np.arange(0, max(1, len(run) - n), jump)
-            if len(run) > n and at[-1] != len(run) - 1 - n:
-                at = np.append(at, len(run) - 1 - n)
-            x = (run[np.minimum(at + n, len(run) - 1)] - run[at]).astype(np.float32)
-            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+            n, jump = size // STRIDE, max(1, size // (4 * STRIDE))
+            at = np.arange(0, int(begin[-1]) // STRIDE, jump)
+            x = run[at + n] - run[at]
             cos = x @ self.latent[items].T
+            cos /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             for i, j in zip(*np.nonzero(cos >= COSINE)):
-                k, c = int(items[j]), float(cos[i, j])
-                item = self.words[k]
-                if k in found and found[k][1] >= 0.999:
-                    continue
-                a = at[i] * STRIDE
-                region = w[max(0, a - size // 2):a + size + size // 2]
-                share = lcs_length(item, region) / len(item)
-                if share < LCS or (k in found and found[k][1] >= share):
-                    continue
-                answer = float(np.isin(self.answers[k], region).mean()) if len(self.answers[k]) else 1.0
-                if answer >= ANSWER:
-                    found[k] = (c, share, answer)
+                a = int(at[i]) * STRIDE
+                first, last = np.searchsorted(begin, [a, a + size - 1], "right") - 1
+                for g in range(int(first), min(int(last), len(group) - 1) + 1):
+                    self._judge(group[g], a - int(begin[g]), size, int(items[j]), float(cos[i, j]), found)
+
+    def _judge(self, piece: tuple[int, np.ndarray], a: int, size: int, k: int, cosine: float, found: dict) -> None:
+        text, w = piece
+        item, best = self.words[k], found.get((text, k))
+        if best and best[1] >= 0.999:
+            return
+        region = w[max(0, a - size // 2):a + size + size // 2]
+        in_item = self.sets[k]
+        if sum(x in in_item for x in region.tolist()) < LCS * len(item):
+            return
+        share = lcs_length(item, region) / len(item)
+        if share < LCS or (best and best[1] >= share):
+            return
+        answer = float(np.isin(self.answers[k], region).mean()) if len(self.answers[k]) else 1.0
+        if answer >= ANSWER:
+            found[text, k] = (cosine, share, answer)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -240,8 +247,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, cosine double, lcs double, answer double"
     hashed = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_hashed, "doc_id bigint, words binary"))
-    seen = passage_frequency(hashed)
-    idf = np.log((1 + seen[0, 1]) / (1 + seen[:, 0])) + 0.1
+    seen = word_counts(hashed)
+    idf = weights_of(seen)
     basis = latent_basis(hashed, idf)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     n = items.count()
@@ -256,8 +263,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 rows = []
                 if it.ids:
-                    for i, x in zip(b.column("doc_id").to_pylist(), b.column("words")):
-                        rows += [(i, it.ids[k], *v) for k, v in it.matches(np.frombuffer(x.as_buffer(), np.uint32)).items()]
+                    ids, texts = b.column("doc_id").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("words")]
+                    rows = [(ids[t], it.ids[k], *v) for (t, k), v in it.matches(texts).items()]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["doc_id", "item_id", "cosine", "lcs", "answer"])

@@ -162,3 +162,11 @@ def op9_mixing(spark, sf):
 @query
 def op1_decontamination(spark, sf):
     return decontaminate.leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+
+
+# ------------------------------------------------------------------------ pipeline
+@query
+def pipeline(spark, sf):
+    from corpus_pipeline import run
+
+    return run(spark, sf)
