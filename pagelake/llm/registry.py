@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, url_filter, warc
+from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, repeats, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,9 @@ def pipeline(spark, sf):
     from corpus_pipeline import run
 
     return run(spark, sf)
+
+
+# ------------------------------------------------------------------------ repeats
+@query
+def op3_suffix_dedup(spark, sf):
+    return repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
