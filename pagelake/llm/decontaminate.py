@@ -105,8 +105,8 @@ def word_counts(hashed: DataFrame) -> np.ndarray:
 
 
 def weights_of(counts: np.ndarray) -> np.ndarray:
-    """Inverse frequency; buckets that hold more than one word in ``COMMON`` weigh nothing."""
-    return np.maximum(0.0, np.log((1 + counts.sum()) / (1 + counts)) - np.log(COMMON))
+    """Inverse frequency; buckets that hold more than one word in ``COMMON`` weigh next to nothing."""
+    return np.maximum(0.1, np.log((1 + counts.sum()) / (1 + counts)) - np.log(COMMON))
 
 
 def latent_basis(hashed: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
