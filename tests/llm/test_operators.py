@@ -213,6 +213,8 @@ def test_leaks_exact_edited_and_clean(spark):
     edited[5], edited[20], edited[30] = "other", "words", "here"
     around = " ".join(words(300, 21))
     rows = [(1, f"{around} {item} {around}"), (2, f"{around} {' '.join(edited)}"), (3, around), (4, None), (5, ""), (6, item.upper().replace(" ", ", "))]
+    vocabulary, rng = words(3000, 22), np.random.default_rng(23)  # a latent space needs more passages than dimensions
+    rows += [(100 + i, " ".join(rng.choice(vocabulary, 400))) for i in range(300)]
     bench = spark.createDataFrame([(7, item), (8, None), (9, "too short")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 7), (2, 7), (6, 7)}
