@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pagelake.llm.common import BYTE_VALUE, U64, mix, partitions, powers, text_buffers, written
 
 SPAN, GRAM, CROWD, RUN, PREFIX = 400, 200, 20_000, 20_000, 32
+#: Suffixes whose groups are compared in one numpy step (a larger group is a step of its own).
+TOGETHER = 2048
 SMALL_KEYS = 1_000_000
 
 
@@ -163,24 +165,36 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, tuple]]:
         winner = enter(winner)
 
 
-def repeated(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """k1, k2, start, end of the stretches of SPAN-byte strings in a group that occur in several places."""
-    group = list({(e[2], e[3], e[4]): e for e in group}.values())
-    if len(group) < 2:
+def _windows(entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the SPAN-byte strings around each anchor, the first that of the string starting SPAN - GRAM bytes
+    before it, and how many bytes the entry has before its anchor and from it on; strings beyond those are not real."""
+    reach = SPAN - GRAM
+    left, right = np.array([len(e[1]) for e in entries]), np.array([len(e[0]) for e in entries])
+    up, down = powers(reach + SPAN)
+    hashes = np.empty((len(entries), reach + 1), U64)
+    for lo in range(0, len(entries), 256):
+        part = entries[lo:lo + 256]
+        flat = b"".join(e[1].rjust(reach, b"\0") + e[0].ljust(SPAN, b"\0") for e in part)
+        total = np.zeros((len(part), reach + SPAN + 1), U64)
+        np.cumsum(BYTE_VALUE[np.frombuffer(flat, np.uint8).reshape(len(part), -1)] * up, axis=1, out=total[:, 1:])
+        hashes[lo:lo + 256] = mix((total[:, SPAN:] - total[:, :-SPAN]) * down[:reach + 1])
+    return hashes, left, right
+
+
+def repeated(groups: list[list[tuple]]) -> Iterator[tuple[int, int, int, int]]:
+    """k1, k2, start, end of the stretches of SPAN-byte strings that occur in several places of one group.
+
+    Many groups are worked on together; a string's hash is mixed with its group's number.
+    """
+    groups = [g for g in (list({(e[2], e[3], e[4]): e for e in g}.values()) for g in groups) if len(g) > 1]
+    if not groups:
         return
+    salt = mix(np.repeat(np.arange(1, len(groups) + 1, dtype=U64), [len(g) for g in groups]))
+    group = [e for g in groups for e in g]
+    hashes, left, right = _windows(group)
+    hashes += salt[:, None]
     reach = SPAN - GRAM
-    wide = np.zeros((len(group), reach + SPAN), np.uint8)
-    left, right = np.array([len(e[1]) for e in group]), np.array([len(e[0]) for e in group])
-    for i, e in enumerate(group):
-        wide[i, reach - len(e[1]):reach] = np.frombuffer(e[1], np.uint8)
-        wide[i, reach:reach + len(e[0])] = np.frombuffer(e[0], np.uint8)
     again = np.zeros((len(group), reach + 1), bool)  # by bytes before the anchor
-    up, down = powers(reach + SPAN)
-    hashes = np.empty((len(group), reach + 1), U64)
-    for lo in range(0, len(group), 256):
-        total = np.zeros((len(wide[lo:lo + 256]), reach + SPAN + 1), U64)
-        np.cumsum(BYTE_VALUE[wide[lo:lo + 256]] * up, axis=1, out=total[:, 1:])
-        hashes[lo:lo + 256] = (total[:, SPAN:] - total[:, :-SPAN]) * down[:reach + 1]
     for o in range(reach + 1):
         ok = np.flatnonzero((left >= o) & (right >= SPAN - o))
         _, back, n = np.unique(hashes[ok, reach - o], return_inverse=True, return_counts=True)
@@ -231,21 +245,20 @@ def _runs(splitters: list[bytes]):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        group, out = [], []
+        groups, held = [[]], 0
         for n, e in merged(runs):
-            if n < GRAM and group:
-                out += repeated(group)
-                group = []
-            group.append(e)
-            if len(out) > 10_000:
-                yield batch(out)
-                out = []
-        out += repeated(group)
-        if out:
-            yield batch(out)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["k1", "k2", "lo", "hi"])
+            if n < GRAM and groups[-1]:
+                if held >= TOGETHER:
+                    yield from batch(list(repeated(groups)))
+                    groups, held = [], 0
+                groups.append([])
+            groups[-1].append(e)
+            held += 1
+        yield from batch(list(repeated(groups)))
+
+    def batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["k1", "k2", "lo", "hi"])
 
     now, runs = None, []
     for b in batches:
@@ -260,12 +273,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(entries: list[tuple]) -> pa.RecordBatch:
+        hashes, left, right = _windows(entries)
+        before = np.arange(SPAN - GRAM, -1, -1)
+        i, o = np.nonzero((left[:, None] >= before) & (right[:, None] >= SPAN - before))
+        k1, k2, at = (np.array([e[c] for e in entries], np.int64) for c in (2, 3, 4))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[i, o].view(np.int64), k1[i], k2[i], at[i] - before[o])], ["w", "k1", "k2", "lo"])
+
+    held: list[tuple] = []
     for b in batches:
-        for suffix, left, k1, k2, at in _entries(b, True):
-            h = _hashes(np.frombuffer(left + suffix, np.uint8), SPAN)
-            if len(h):
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.arange(at - len(left), at - len(left) + n))], ["w", "k1", "k2", "lo"])
+        for e in _entries(b, True):
+            held.append(e)
+            if len(held) == 256:
+                yield batch(held)
+                held = []
+    if held:
+        yield batch(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
