@@ -69,7 +69,8 @@ def resolve(href: Column, base: Column) -> Column:
 
 
 def resolve_parts(href: Column, b: Column) -> Column:
-    """``resolve`` with the parts of the base URL at hand."""
+    """``resolve`` with the parts of the base URL at hand; blanks before an address and line breaks in it are dropped."""
+    href = F.translate(F.regexp_replace(href, r"^[\x00-\x20]+", ""), "\t\r\n", "")
     part = lambda mark, i: F.when(
         F.regexp_extract(href, _SPLIT, i) != "", F.concat(F.lit(mark), F.regexp_extract(href, _SPLIT, i))
     ).otherwise("")

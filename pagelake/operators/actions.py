@@ -276,7 +276,7 @@ def candidates(page_rows: DataFrame) -> DataFrame:
         .otherwise(base)
     )
     say = F.format_string
-    section = F.coalesce(truthy(F.substring(href, 2, 1 << 20)), label)
+    section = F.coalesce(truthy(F.substr(href, F.lit(2))), label)
     in_nav = F.col("lone.in_nav") | F.coalesce(F.col("lone.role") == "menuitem", F.lit(False))
     description = (
         F.when((tag == "form") & F.col("is_search"), rules.DESCRIBE_SEARCH)

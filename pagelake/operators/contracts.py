@@ -195,10 +195,9 @@ def effects(net: DataFrame, nav: DataFrame, dom: DataFrame) -> DataFrame:
     The three logs become one narrow stream of flags and meet in one map-side combined
     aggregate, so the logs are shuffled once, as one row per candidate and task.
     """
-    kept = ~(
-        F.col("url").rlike(rules.STATIC_ASSET) | urls.netloc(F.col("url")).rlike(rules.ANALYTICS_HOST)
-        | (F.coalesce(F.col("bytes"), F.lit(1 << 30)) < rules.BEACON_MAX_BYTES)
-    )
+    kept = ~(F.col("url").rlike(rules.STATIC_ASSET) | urls.netloc(F.col("url")).rlike(rules.ANALYTICS_HOST))
+    # A small read is a beacon; a write counts at any size.
+    large = F.coalesce(F.col("bytes"), F.lit(1 << 30)) >= rules.BEACON_MAX_BYTES
     no = F.lit(False)
     flags = lambda nav_, mut, qry, dlg, loc: [
         "candidate_id", nav_.alias("nav"), mut.alias("mut"), qry.alias("qry"), dlg.alias("dlg"), loc.alias("loc")
@@ -206,7 +205,7 @@ def effects(net: DataFrame, nav: DataFrame, dom: DataFrame) -> DataFrame:
     writes = F.col("method").isin("POST", "PUT", "PATCH", "DELETE")
     reads = (F.col("method") == "GET") & F.coalesce(F.col("mime").rlike("json|html"), no)
     log = (
-        net.select(*flags(no, kept & writes, kept & reads, no, no))
+        net.select(*flags(no, kept & writes, kept & large & reads, no, no))
         .unionByName(nav.select(*flags(F.col("from_url") != F.col("to_url"), no, no, no, no)))
         .unionByName(dom.select(*flags(no, no, no, F.col("dialog_opened"), (F.col("added") + F.col("removed")) > 0)))
     )
@@ -253,7 +252,8 @@ def resolve_act(requests: DataFrame, contracts: DataFrame, bucket: str = "day")
     """
     step = f"interval 1 {bucket}"
     days = F.sequence(F.date_trunc(bucket, "created_at"), F.date_trunc(bucket, "expires_at"), F.expr(step))
-    c = contracts.select("action_id", "created_at", "expires_at", "requires_confirm", "contract", F.explode(days).alias("at_day"))
+    # A contract that ends before it starts is never valid.
+    c = contracts.where("created_at < expires_at").select("action_id", "created_at", "expires_at", "requires_confirm", "contract", F.explode(days).alias("at_day"))
     r = requests.withColumn("at_day", F.date_trunc(bucket, "ts"))
     hit = (
         r.join(c, ["action_id", "at_day"])

@@ -212,8 +212,8 @@ def joined(pieces: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(pieces), lambda x: x["piece"]), "")
 
 
-def reference_links(pages: DataFrame, max_rows: int = 50) -> DataFrame:
-    """Markdown with numbered link references, tracking parameters taken out, and long tables cut with a mark.
+def reference_links(pages: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Markdown with numbered link references, tracking parameters taken out; tables longer than ``max_rows``, if given, are cut with a mark.
 
     Targets are numbered per page in order of first use; the list of references follows the text.
     """
@@ -231,8 +231,9 @@ def reference_links(pages: DataFrame, max_rows: int = 50) -> DataFrame:
     row_of = F.when(F.col("_r.epos") >= F.col("pos"), F.col("_r.pos"))
     nd = nd.withColumn("_row", F.when((F.col("_t.epos") >= F.col("pos")) & (row_of > F.col("_t.pos")), row_of))
     nd = nd.withColumn("nth_row", F.dense_rank().over(W.partitionBy("page_id", "_t.pos").orderBy(F.col("_row").asc_nulls_last())))
-    over = F.col("_row").isNotNull() & (F.col("nth_row") > max_rows)
-    cut = over & (F.col("nth_row") == max_rows + 1) & (F.col("tag") == "tr") & (F.col("side") == 0)
+    limit = F.lit(max_rows).cast("int")
+    over = F.col("_row").isNotNull() & F.coalesce(F.col("nth_row") > limit, F.lit(False))
+    cut = over & (F.col("nth_row") == limit + 1) & (F.col("tag") == "tr") & (F.col("side") == 0)
     shown = content_piece(F.concat(F.lit("]["), F.col("ref").cast("string"), F.lit("]")))
     mark = F.struct("at", (-F.col("pos")).alias("neg"), F.lit("\n| … |").alias("piece"))
     piece = F.when(cut & inside, mark).when(~over, shown)

@@ -102,7 +102,12 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
         f = f.withColumn("render", F.lit("never"))
     # A page that is always rendered is not fetched first.
     got = F.col("render") != "always"
-    f = f.withColumns({c: F.when(got, F.col(c)) for c in ("html", "fetch_error", "elapsed_ms")})
+    fetched = got & F.col("fetch_error").isNull()
+    f = f.withColumns({
+        **{c: F.when(got, F.col(c)) for c in ("html", "fetch_error", "elapsed_ms")},
+        "status_code": F.when(got, F.col("status_code")).otherwise(200),
+        "final_url": F.when(fetched, F.col("final_url")).otherwise(F.col("url")),
+    })
     f = f.withColumns({"signals": R.page_signals(F.col("html")), "base": F.col("final_url")})
     carry = ["url", "final_url", "render", "actions_mode", "include_actions", "status_code", "elapsed_ms", "fetch_error", "signals"]
     n = H.page_partitions(f)
@@ -117,6 +122,9 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
         if name not in r.columns:
             r = r.withColumn(name, F.lit(None).cast(kind))
     r = R.classify_render(r).withColumns({"signals": R.page_signals(F.col("html")), "base": F.col("final_url")})
+    options = [c for c in ("selector_hint", "max_tokens") if c in f.columns]
+    if options:  # the request's options hold for its rendered page too
+        r = r.drop(*options).join(f.select("page_id", *options), "page_id", "left")
     r = extract(r, ["final_url", "elapsed_ms", "render_error", "signals"], n)
     r = r.select("page_id", F.struct(*[c for c in r.columns if c != "page_id"]).alias("r"))
     j = s.join(r, "page_id", "left")
