@@ -251,7 +251,7 @@ def resolve_act(requests: DataFrame, contracts: DataFrame, bucket: str = "day")
     a map-side combined maximum. A much-used action is spread over its days.
     """
     step = f"interval 1 {bucket}"
-    days = F.sequence(F.date_trunc(bucket, "created_at"), F.date_trunc(bucket, "expires_at"), F.expr(step))
+    days = F.sequence(F.date_trunc(bucket, "created_at"), F.date_trunc(bucket, F.greatest("created_at", "expires_at")), F.expr(step))
     # A contract that ends before it starts is never valid.
     c = contracts.where("created_at < expires_at").select("action_id", "created_at", "expires_at", "requires_confirm", "contract", F.explode(days).alias("at_day"))
     r = requests.withColumn("at_day", F.date_trunc(bucket, "ts"))

@@ -166,3 +166,26 @@ def test_fallback_confidence_tiers_and_lookup(spark):
         1: (None, "navigate"), 2: ("name", "presumed_mutating"), 3: ("name", "presumed_mutating"), 4: ("price_nearby", "presumed_mutating"), 5: (None, "local"), 6: (None, "navigate"), 7: (None, "navigate")}
     tiers = {m: [r.tier for r in K.tier(g, m).orderBy("page_id").collect()] for m in ("fast", "verified")}
     assert tiers["verified"] == ["t0_http", "ignore", "ignore", "ignore", "t2_browser", "ignore", "ignore"] and tiers["fast"][4] == "t1_light_dom"
+
+
+def test_blanks_around_an_address_do_not_count(spark):
+    rows = [(" /foo",), ("\n\tbar",), ("a\nb",)]
+    got = spark.createDataFrame(rows, "href string").select(urls.resolve(F.col("href"), F.lit("http://c.example/x/y")).alias("u"))
+    assert [r.u for r in got.collect()] == ["http://c.example/foo", "http://c.example/x/bar", "http://c.example/x/ab"]
+
+
+def test_small_writes_count_and_small_reads_do_not(spark):
+    net = spark.createDataFrame(
+        [("a", "https://h.example/save", "POST", 0, None), ("b", "https://h.example/ping", "GET", 10, "application/json")],
+        "candidate_id string, url string, method string, bytes int, mime string",
+    )
+    nav = spark.createDataFrame([], "candidate_id string, from_url string, to_url string")
+    dom = spark.createDataFrame([("a", False, 1, 0), ("b", False, 1, 0)], "candidate_id string, dialog_opened boolean, added int, removed int")
+    got = {r.candidate_id: r.effect for r in K.effects(net, nav, dom).collect()}
+    assert got == {"a": "mutating", "b": "local"}
+
+
+def test_a_contract_that_ends_before_it_starts_is_never_found(spark):
+    requests = spark.sql("SELECT 'r' AS request_id, 'x' AS action_id, timestamp'2024-01-02 12:00:00' AS ts, true AS confirm")
+    bad = spark.sql("SELECT 'x' AS action_id, timestamp'2024-01-05' AS created_at, timestamp'2024-01-01' AS expires_at, false AS requires_confirm, 'c' AS contract")
+    assert [r.error for r in K.resolve_act(requests, bad).collect()] == ["action_not_found"]
