@@ -26,6 +26,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows a task writes at least, where all cores have a task.
+ROWS_PER_TASK = 200_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows in as few partitions as these need, but one a core; no shuffle, rows stay whole."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value over all bits."""
     x = x ^ (x >> U64(30))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import written
+from pagelake.llm.common import gathered, written
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -32,18 +32,18 @@ def hooked(links: DataFrame, steps: int = 2) -> DataFrame:
 
     Labels stay inside the components of ``links``, but a component may still have several.
     """
-    comp = None
+    comp, rows = None, 2 * links.count()
     for _ in range(steps):
         e = _both(links)
         if comp is not None:
             one = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c"))
             e = e.join(one("u"), "u").join(one("v"), "v").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
-        low = written(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
+        low = written(gathered(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), rows))
         up = low.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         step = low.join(up, "comp").select("node", F.col("top").alias("comp"))
         if comp is not None:
             step = comp.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp").select("node", F.col("top").alias("comp"))
-        comp = written(step)
+        comp = written(gathered(step, rows))
     return comp
 
 
@@ -54,10 +54,10 @@ def components(links: DataFrame) -> DataFrame:
     are shuffled; every step is written to the shared folder. Null ends and loops are ignored.
     """
     e = links.select("u", "v").where("u is not null and v is not null and u <> v")
-    mark = None
+    mark, rows = None, 2 * e.count()
     while True:
-        e = written(_small_star(_large_star(e)))
+        e = written(gathered(_small_star(_large_star(e)), rows))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        mark = now
+        mark, rows = now, 2 * now[0]
