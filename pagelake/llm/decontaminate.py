@@ -175,7 +175,7 @@ class Items:
         self.sets = [frozenset(w.tolist()) for w in self.words]
         # One more row for the filling between texts.
         self.weighted = np.append(self.weighted, np.zeros((1, basis.shape[1]), np.float32), axis=0)
-        latent = np.array([self.weighted[w % BUCKETS].sum(0) for w in self.words]).reshape(-1, basis.shape[1])
+        latent = np.array([self.weighted[w % BUCKETS].sum(0) for w in self.words]).reshape(len(self.words), basis.shape[1])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]).astype(np.float32)
         size = np.array([_size(len(w)) for w in self.words])
         self.by_size = {int(s): np.flatnonzero(size == s) for s in np.unique(size)}
