@@ -660,7 +660,7 @@ def full_profiles(spark, sf):
 @query
 def invokable_actions(spark, sf):
     """Probed actions without anything to confirm."""
-    g = K.guarded(A.top(A.candidates(A.page_rows(D.pages_aug(spark, sf)))).withColumn("near_price", F.lit(False)))
+    g = K.guarded(A.top(A.candidates(A.page_rows(D.pages_aug(spark, sf), prices=True))))
     p = K.probe_plan(g.drop("verification"))
     v = p.withColumn("verification", F.when(F.col("probed") & F.col("rule").isNull(), "verified").otherwise("inferred"))
     return K.auto_invokable(v).select("page_id", "rank", "label", "effect")

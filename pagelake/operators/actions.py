@@ -369,7 +369,7 @@ def top(c: DataFrame, k: int = rules.MAX_ACTIONS) -> DataFrame:
         .where(F.col("rank") <= k)
         .select(
             "page_id", "rank", "rank_class", "type", "label", "target", "method", "parameters", "description",
-            "action_key", "src", "pos",
+            "action_key", "src", "pos", *[x for x in ("near_price",) if x in d.columns],
         )
     )
 
