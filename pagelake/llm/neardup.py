@@ -3,14 +3,17 @@
 A signature of ``HASHES`` values is sorted in ``ORDERS`` orders, each starting at another value. Documents that stand
 together with ``DEPTH`` or more equal leading values form a region; a region of more than ``REGION`` documents is dealt
 out by a longer prefix and cut at deeper ones until its parts fit, so the depth follows how crowded the place is. A pair
-cut apart in one order meets in others. Only candidates are compared whose signatures agree in ``AGREE`` of their values, and every link is
+cut apart in one order meets in others, or in round 4. Only candidates are compared whose signatures agree in ``AGREE`` of their values, and every link is
 confirmed on the full shingle sets.
 
 Regions are worked off in rounds, and links found so far join documents to components:
 1. every document with the best of its neighbours in the orders and the middles of its regions (the middle is the
    document nearest to the most frequent value at each place of the signature),
 2. every document outside a region's largest component with its best candidate in another component,
-3. all candidates that are left between different components.
+3. all candidates that are left between different components,
+4. documents that share a region of more than ``REGION`` with another component, by an exact prefix-filter join: two sets
+   similar enough share one of their rarest shingles, which are ordered by how many of these documents hold them. A
+   shingle of many documents is dealt out in cells; lengths, places and the parity bits of the sets rule pairs out.
 Thus no pair inside a component is ever made, and no candidate between components is dropped.
 
 Equal sets are one node from the start. Texts without words have no set, link with nothing and are kept; null text
@@ -35,6 +38,10 @@ STEP = HASHES // ORDERS
 FACTORS = mix(np.arange(7000, 7000 + HASHES, dtype=U64)) | U64(1)
 #: Rounds of comparisons, in order.
 ROUNDS = ("first", "best", "rest")
+#: Parts a shingle's documents are counted in; documents of a cell of the join, cells a side at most; parity bits of a set.
+SALTS, CELL, CELLS, BITS = 64, 4096, 64, 1024
+#: Pairs that one numpy step of the join looks at.
+TILE = 1 << 18
 #: AGREE is four standard deviations of the estimate below the similarity of a link.
 #: Ids that may travel with a map task instead of a shuffle of the texts.
 SMALL_IDS = 1_000_000
@@ -74,19 +81,19 @@ def _crowded(nodes: DataFrame) -> DataFrame:
     return p.join(mixed, "h").select("doc_id", "ord", "h", "crowd")
 
 
-def _regions(lo: int, hi: int, lcp: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
-    """Parts of the sorted rows ``lo`` to ``hi`` that share ``depth`` values, cut deeper where they are too large."""
+def _regions(lo: int, hi: int, lcp: np.ndarray, depth: int, most: int) -> Iterator[tuple[int, int]]:
+    """Parts of the sorted rows ``lo`` to ``hi`` that share ``depth`` values, cut deeper where they hold more than ``most``."""
     cuts = np.flatnonzero(lcp[lo + 1:hi] < depth) + lo + 1
     for a, b in zip(np.append(lo, cuts).tolist(), np.append(cuts, hi).tolist()):
         if b - a <= 1:
             continue
-        if b - a <= REGION:
+        if b - a <= most:
             yield a, b
         elif depth < MAX_DEPTH:
-            yield from _regions(a, b, lcp, depth + 1)
+            yield from _regions(a, b, lcp, depth + 1, most)
         else:
-            for x in range(a, b, REGION):
-                yield x, min(b, x + REGION)
+            for x in range(a, b, most):
+                yield x, min(b, x + most)
 
 
 def _middle(label: np.ndarray) -> int:
@@ -145,10 +152,10 @@ def _pairs_in(rows: dict[str, np.ndarray], a: int, b: int, mode: str) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _scan(mode: str):
+def _scan(mode: str, most: int):
     def emit(rows: dict[str, np.ndarray], lo: int, hi: int, lcp: np.ndarray) -> Iterator[pa.RecordBatch]:
         got = []
-        for a, b in _regions(lo, hi, lcp, DEPTH):
+        for a, b in _regions(lo, hi, lcp, DEPTH, most):
             i, j, agree = _pairs_in(rows, a, b, mode)
             if len(i):
                 got.append((rows["doc_id"][a + i], rows["doc_id"][a + j], agree))
@@ -167,7 +174,7 @@ def _scan(mode: str):
             lcp = _lcp(held)
             ends = np.flatnonzero(lcp < DEPTH)
             cut = int(ends[-1]) if len(ends) and ends[-1] > 0 else 0
-            if len(lcp) - cut > 4 * REGION:
+            if len(lcp) - cut > 4 * most:
                 cut = len(lcp)
             yield from emit(held, 0, cut, lcp)
             held = {c: x[cut:] for c, x in held.items()}
@@ -195,7 +202,7 @@ def candidates(nodes: DataFrame, places: DataFrame, mode: str) -> DataFrame:
     depth = F.least(F.when(F.col("crowd") <= REGION, DEPTH).otherwise(DEPTH + F.ceil(F.log(F.col("crowd") / REGION) * 4.5)), F.lit(MAX_DEPTH)).cast("int")
     rows = places.join(nodes, "doc_id").join(hot, "doc_id", "left").select("h", "ord", F.coalesce("hot", F.lit(False)).alias("hot"), "doc_id", "n", "comp", label.alias("label"), depth.alias("depth"))
     rows = rows.repartition(partitions(nodes.sparkSession), F.xxhash64("h", F.substring("label", F.lit(1), 2 * F.col("depth")))).drop("depth").sortWithinPartitions("h", "label", "doc_id")
-    c = rows.mapInArrow(_scan(mode), "i bigint, j bigint, agree double")
+    c = rows.mapInArrow(_scan(mode, REGION), "i bigint, j bigint, agree double")
     if mode != "rest":
         c = c.groupBy("i").agg(F.max(F.struct("agree", "j")).alias("x")).select("i", F.col("x.j").alias("j"))
     return c.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
@@ -217,6 +224,97 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one("u"), "u").join(one("v"), "v").select("u", "v", "su", "sv").mapInArrow(_confirm, "u bigint, v bigint")
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with their key, size and for each of ``BITS`` classes of shingles whether the set holds an odd number of it."""
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in b.column("shingles")]
+        if not sets:
+            continue
+        keys = [set_key(x) for x in sets]
+        odd = [np.packbits((np.bincount((x % U64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes() for x in sets]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+            pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
+        ], ["doc_id", "k1", "k2", "n", "odd", "shingles"])
+
+
+def _alike(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole cells that no bound rules out; in a cell of two parts only pairs across them."""
+    size = len(rows["n"])
+    new = np.append(True, (rows["s"][1:] != rows["s"][:-1]) | (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1]))
+    start = np.flatnonzero(new)
+    cell = np.cumsum(new) - 1
+    first = start[cell]
+    across = rows["a"] != rows["b"]
+    low = np.add.reduceat((rows["own"] == rows["a"]).astype(np.int64), start)[cell]
+    partners = np.where(across, np.where(rows["own"] == rows["b"], low, 0), np.arange(size) - first)
+    total = np.cumsum(partners)
+    lo = 0
+    while lo < size:
+        done = int(total[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + TILE, "right")))
+        count = partners[lo:hi]
+        i = np.repeat(np.arange(lo, hi), count)
+        j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        lo = hi
+        ni, nj = rows["n"][i], rows["n"][j]
+        need = (85 * (ni + nj) + 184) // 185  # shared shingles of a link
+        fits = (rows["comp"][i] != rows["comp"][j]) & (np.minimum(ni - rows["at"][i], nj - rows["at"][j]) >= need) & (np.minimum(ni, nj) >= need)
+        i, j, most = i[fits], j[fits], (ni + nj - 2 * need)[fits]
+        fits = np.bitwise_count(rows["odd"][i] ^ rows["odd"][j]).sum(1, dtype=np.int64) <= most
+        u, v = rows["doc_id"][i[fits]], rows["doc_id"][j[fits]]
+        if len(u):
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "a", "b", "own", "doc_id", "comp", "n", "at")}
+        data = b.column("odd")
+        new["odd"] = np.frombuffer(data.buffers()[2], np.uint8, b.num_rows * BITS // 8, data.offset * BITS // 8).reshape(-1, BITS // 8).view(U64)
+        last = tuple(new[c][-1] for c in ("s", "a", "b"))
+        if held is not None:
+            new = {c: np.concatenate([held[c], new[c]]) for c in new}
+        cut = int(np.argmax((new["s"] == last[0]) & (new["a"] == last[1]) & (new["b"] == last[2])))
+        if cut:
+            yield from _alike({c: x[:cut] for c, x in new.items()})
+        held = {c: x[cut:] for c, x in new.items()}
+    if held is not None:
+        yield from _alike(held)
+
+
+def crowded_pairs(nodes: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs u < v of the documents ``hot`` in different components; every pair of similar sets is among them.
+
+    Of sets in one order of shingles, rarest first, those similar to a set of n hold one of its first n - ceil(0.85 n) + 1.
+    """
+    key = ["doc_id", "k1", "k2"]
+    docs = only_ids(sets, hot).mapInArrow(_marked, "doc_id bigint, k1 bigint, k2 bigint, n bigint, odd binary, shingles array<bigint>").dropDuplicates(key)
+    docs = written(docs.join(nodes.select("doc_id", "comp").distinct(), "doc_id"))
+    held = docs.select(*key, "comp", F.explode("shingles").alias("s")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = held.groupBy("s", "salt").agg(F.count("*").alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    counts = parts.groupBy("s").agg(F.sum("c").alias("c"), (F.min("a") != F.max("b")).alias("mixed"), F.collect_list("salt").alias("salt")).where("c > 1")
+    counts = counts.select("s", "c", "mixed", F.explode("salt").alias("salt"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s", F.coalesce("mixed", F.lit(False)).alias("mixed"))))
+    ordered = held.join(counts, ["s", "salt"], "left").groupBy(key).agg(order.alias("x"))
+    rare = F.slice("x", F.lit(1), F.expr("cast(size(x) - (85 * size(x) + 99) div 100 + 1 as int)"))
+    posts = ordered.select(*key, F.posexplode(rare).alias("at", "y")).where("y.mixed").select(*key, "at", "y.s", F.least(F.ceil(F.col("y.c") / CELL), F.lit(CELLS)).cast("int").alias("cells"))
+    rows = posts.join(docs.drop("shingles"), key).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("cells")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.select("s", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "doc_id", "comp", "n", F.col("at").cast("bigint").alias("at"), "odd")
+    rows = rows.repartition(partitions(nodes.sparkSession), "s", "a", "b").sortWithinPartitions("s", "a", "b", "own")
+    return rows.mapInArrow(_cells, "u bigint, v bigint").distinct()
+
+
+def _with_comp(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    return nodes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
 def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows (doc_id, n, k1, k2), and rep, comp of the sets that are linked with a smaller id's set."""
     sketch = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary"))
@@ -230,11 +328,18 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = comp = None
     for mode in ROUNDS:
         if comp is not None:
-            now = nodes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+            now = _with_comp(nodes, comp)
             places = written(_crowded(now))
         new = written(confirmed(written(candidates(now, places, mode)), sets))
         links = new if links is None else links.union(new)
         comp = graph.hooked(links) if mode != ROUNDS[-1] else graph.components(links)
+    crowded = F.col("crowd") > REGION
+    if not places.where(crowded).isEmpty():  # regions were cut
+        now = _with_comp(nodes, comp)
+        hot = written(_crowded(now).where(crowded).select("doc_id").distinct())
+        if not hot.isEmpty():
+            new = written(confirmed(written(crowded_pairs(now, hot, sets)), sets))
+            comp = graph.components(links.union(new))
     return sketch.drop("sig"), comp.select(F.col("node").alias("rep"), "comp")
 
 

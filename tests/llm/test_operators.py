@@ -62,6 +62,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (len(docs[i]), top(i), top(i) == i) for i in ids}
 
 
+@pytest.mark.parametrize("cell", [4096, 16])
+def test_near_duplicates_of_a_crowded_template(spark, monkeypatch, cell):
+    rng, template, rows = np.random.default_rng(5), words(200, 50), []
+    for k in range(150):  # unlike each other through three own words; every other one has a near copy
+        own = template.copy()
+        for place, w in zip(rng.choice(200, 3, replace=False), words(3, 1000 + k)):
+            own[place] = w
+        near = own.copy()
+        for place in rng.choice(200, 3, replace=False):
+            near[place] = "changed"
+        rows += [(2 * k, " ".join(own))] + [(2 * k + 1, " ".join(near))] * (k % 2)
+    sets = {i: shingles(t) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                p, q = sorted((top(a), top(b)))
+                comp[q] = p
+    monkeypatch.setattr(neardup, "REGION", 4)
+    monkeypatch.setattr(neardup, "CELL", cell)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
+    assert 50 <= sum(top(i) != i for i in sets) <= 120
+
+
 def removed(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[s:s + 400] for b in data for s in range(len(b) - 399))
