@@ -50,8 +50,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the number of copies that meets the target shares; those with none go."""
-    return mixing.mix(docs, domain_labels(table(spark, sf_dir, "labels")), SHARES).where("copies > 0")
+    """Documents with the number of copies that meets the target shares; those with none go, of the clean domain none goes."""
+    return mixing.mix(docs, domain_labels(table(spark, sf_dir, "labels")), SHARES, whole="clean").where("copies > 0")
 
 
 STAGES = [

@@ -265,6 +265,16 @@ def test_mixing_meets_targets(spark):
     assert none.count() == 0
 
 
+def test_rare_words_do_not_speak_for_a_small_domain(spark):
+    rows = [(i, " ".join(["good"] * 3 + words(40, 300 + i))) for i in range(300)] + [(1000 + i, " ".join(["awful", *words(200, 2000 + i)])) for i in range(20)]
+    new = [(5000 + i, " ".join(["good", *words(60, 5000 + i)])) for i in range(40)]
+    docs = spark.createDataFrame(rows + new, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "c" if i < 1000 else "t") for i, _ in rows], "doc_id long, domain string")
+    m = {r.doc_id: r for r in mixing.mix(docs, labels, {"c": 1.0, "t": 0.0}, whole="c").collect()}
+    assert sum(m[i].p[0] > 0.5 for i, _ in new) >= 36
+    assert all(m[i].copies >= 1 for i in range(300))
+
+
 def test_pipeline_keeps_columns_and_filters(spark):
     import corpus_pipeline as C
 

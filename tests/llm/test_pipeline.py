@@ -83,3 +83,13 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixture_keeps_every_clean_document(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in C.mixture(spark, docs, sf).select("doc_id").collect()}
+    domain = {r.doc_id: r.domain for r in C.domain_labels(spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    clean = {r.doc_id for r in docs.select("doc_id").collect() if domain.get(r.doc_id) == "clean"}
+    toxic = {r.doc_id for r in docs.select("doc_id").collect() if domain.get(r.doc_id) == "toxic"}
+    assert clean and clean <= kept and len(toxic & kept) <= 0.1 * len(toxic)
