@@ -3,7 +3,10 @@
 Texts become hashed words. Passages of ``PASSAGE`` words, weighted by inverse frequency over all documents, make
 a matrix whose right singular vectors come from a distributed randomised SVD: one pass over all passages, whose sketch
 (``BUCKETS`` by ``SKETCH``) is all that reaches the driver. Windows of every document, about as long as each item, are
-compared with the items by the cosine of their whitened latent vectors; windows at ``COSINE`` or more are candidates. A
+compared with the items by the cosine of their whitened latent vectors; windows at ``COSINE`` or more are candidates. So
+is, whatever its cosine, every window that holds enough of the rarer half of an item's words: where the subsequence
+below holds ``LCS`` of the item, at most 1 - ``LCS`` of it can be missing from that half. The latent space thus decides
+nothing alone, and a corpus of few passages loses no match. A
 candidate counts when the longest common subsequence of words holds ``LCS`` of the item and ``ANSWER`` of the words of
 its last sentence (of its last third, if it has one sentence), so edited and reordered sentences are found, and passages
 that merely share a topic are not.
@@ -180,6 +183,16 @@ class Items:
         size = np.array([_size(len(w)) for w in self.words])
         self.by_size = {int(s): np.flatnonzero(size == s) for s in np.unique(size)}
         self.widest = 2 * max([STRIDE, *self.by_size])
+        self.size = size
+        # Rarer half of each item, and how many of its places have to be matched by a subsequence that counts.
+        halves = [w[np.argsort(-idf[w % BUCKETS], kind="stable")[:-(-len(w) // 2)]] for w in self.words]
+        self.least = np.array([int(np.ceil(LCS * len(w) - 1e-9)) - (len(w) - len(h)) for w, h in zip(self.words, halves)], np.int64)
+        pairs = [(x, k, int(c)) for k, h in enumerate(halves) for x, c in zip(*np.unique(h, return_counts=True))]
+        pairs.sort(key=lambda e: int(e[0]))
+        word = np.array([e[0] for e in pairs], np.uint32)
+        self.rare, first = np.unique(word, return_index=True)
+        self.rare_first = np.append(first, len(word))
+        self.rare_item, self.rare_places = (np.array([e[c] for e in pairs], np.int64) for c in (1, 2))
 
     def pieces(self, texts: list[np.ndarray]) -> Iterator[list[tuple[int, np.ndarray]]]:
         """Texts, long ones in overlapping parts, in groups of about ``SEGMENT`` words."""
@@ -225,21 +238,64 @@ class Items:
                 for g in range(int(first), min(int(last), len(group) - 1) + 1):
                     self._judge(group[g], a - int(begin[g]), size, int(items[j]), float(cos[i, j]), found)
 
-    def _judge(self, piece: tuple[int, np.ndarray], a: int, size: int, k: int, cosine: float, found: dict) -> None:
+        self._exact(group, begin, w.shape[0], found)
+
+    def _exact(self, group: list[tuple[int, np.ndarray]], begin: np.ndarray, length: int, found: dict) -> None:
+        """Judges every window, at steps of ``STRIDE``, whose region can hold enough of an item's rarer half."""
+        if not len(self.rare):
+            return
+        at = np.concatenate([b + np.arange(len(p)) for b, (_, p) in zip(begin.tolist(), group)])
+        w = np.concatenate([p for _, p in group])
+        row = np.minimum(np.searchsorted(self.rare, w), len(self.rare) - 1)
+        hit = self.rare[row] == w
+        row, block = row[hit], at[hit] // STRIDE
+        count = self.rare_first[row + 1] - self.rare_first[row]
+        entry = np.repeat(self.rare_first[row], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        item, block, places = self.rare_item[entry], np.repeat(block, count), self.rare_places[entry]
+        # A region lies in two neighbouring stretches of its length; stretches that hold too little together are left out.
+        stretch = block // (2 * self.size[item] // STRIDE + 2)
+        wide = length // (6 * STRIDE) + 2
+        held = np.bincount(item * wide + stretch, places, len(self.words) * wide).reshape(-1, wide)
+        two = held[:, :-1] + held[:, 1:] >= self.least[:, None]
+        enough = np.zeros(held.shape, bool)
+        enough[:, :-1] |= two
+        enough[:, 1:] |= two
+        kept = enough[item, stretch]
+        item, block, places = item[kept], block[kept], places[kept]
+        order = np.lexsort((block, item))
+        item, block, places = item[order], block[order], places[order]
+        edges = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else []
+        for lo, hi in zip(edges, np.append(edges[1:], len(item)) if len(item) else []):
+            k, size = int(item[lo]), int(self.size[item[lo]])
+            run = np.concatenate([[0], np.cumsum(places[lo:hi])])
+            starts = np.arange(0, int(begin[-1]), STRIDE)
+            inside = run[np.searchsorted(block[lo:hi], -(-(starts + size + size // 2) // STRIDE), "left")]
+            inside = inside - run[np.searchsorted(block[lo:hi], (starts - size // 2) // STRIDE, "left")]
+            for a in starts[inside >= self.least[k]].tolist():
+                g = int(np.searchsorted(begin, a, "right")) - 1
+                self._judge(group[g], a - int(begin[g]), size, k, None, found)
+
+    def _cosine(self, w: np.ndarray, k: int) -> float:
+        x = self.weighted[w % BUCKETS].sum(0)
+        return float(x @ self.latent[k] / max(1e-9, float(np.sqrt(x @ x))))
+
+    def _judge(self, piece: tuple[int, np.ndarray], a: int, size: int, k: int, cosine: float | None, found: dict) -> None:
         text, w = piece
         item, best = self.words[k], found.get((text, k))
         if best and best[1] >= 0.999:
             return
         region = w[max(0, a - size // 2):a + size + size // 2]
         in_item = self.sets[k]
-        if sum(x in in_item for x in region.tolist()) < LCS * len(item):
+        if sum(x in in_item for x in region.tolist()) < LCS * len(item) - 1e-9:
+            return
+        if np.isin(item, region).sum() < LCS * len(item) - 1e-9:
             return
         share = lcs_length(item, region) / len(item)
         if share < LCS or (best and best[1] >= share):
             return
         answer = float(np.isin(self.answers[k], region).mean()) if len(self.answers[k]) else 1.0
         if answer >= ANSWER:
-            found[text, k] = (cosine, share, answer)
+            found[text, k] = (self._cosine(w[a:a + size], k) if cosine is None else cosine, share, answer)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

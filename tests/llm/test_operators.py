@@ -252,6 +252,41 @@ def test_leaks_exact_edited_and_clean(spark):
     assert decontaminate.lcs_length(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2
 
 
+def edited_leaks():
+    """Texts, items and the (doc_id, item_id) that a scan of all windows finds by subsequence and answer."""
+    rng, vocabulary = np.random.default_rng(31), words(600, 30)
+    some = lambda n: list(rng.choice(vocabulary, n, p=1 / np.arange(1, 601) / (1 / np.arange(1, 601)).sum()))
+    items = [some(int(n)) for n in rng.integers(12, 60, 16)]
+    rows = []
+    for k in range(96):
+        item = items[k % 16].copy()
+        for place in np.flatnonzero(rng.random(len(item)) < (0, 0.1, 0.2, 0.28)[k % 4 if k < 48 else 3]):
+            item[place] = vocabulary[rng.integers(600)]
+        rows.append((k, " ".join(some(int(rng.integers(0, 120))) + item + some(60))))
+    want = set()
+    for d, text in rows:
+        w = text.split()
+        for k, item in enumerate(items):
+            size, answer = decontaminate._size(len(item)), item[len(item) * 2 // 3:]
+            code = {x: i for i, x in enumerate(set(w) | set(item))}
+            for a in range(0, len(w), 4):
+                region = w[max(0, a - size // 2):a + size + size // 2]
+                held = set(region)
+                if sum(x in held for x in item) < 0.7 * len(item) - 1e-9 or sum(x in held for x in answer) < 0.6 * len(answer):
+                    continue
+                if decontaminate.lcs_length(np.array([code[x] for x in item]), np.array([code[x] for x in region])) >= 0.7 * len(item) - 1e-9:
+                    want.add((d, k))
+                    break
+    return rows, [(k, " ".join(x)) for k, x in enumerate(items)], want
+
+
+def test_leaks_equal_a_scan_of_all_windows(spark):
+    rows, items, want = edited_leaks()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 60
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, " ".join(["good" if i % 2 else "bad", *words(20 + i % 7, 100 + i)])) for i in range(200)] + [(None, None), (900, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
