@@ -252,6 +252,16 @@ def test_leaks_exact_edited_and_clean(spark):
     assert decontaminate.lcs_length(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_in_a_corpus_of_few_passages(spark, seed):
+    item = words(40, 70 + seed)
+    edited = ["other" if k in (5, 20, 30) else x for k, x in enumerate(item)]
+    around = " ".join(words(300, 80 + seed))
+    rows = [(1, f"{around} {' '.join(item)} {around}"), (2, f"{around} {' '.join(edited)}"), (3, around), (4, " ".join(item).upper())]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {(1, 7), (2, 7), (4, 7)}
+
+
 def edited_leaks():
     """Texts, items and the (doc_id, item_id) that a scan of all windows finds by subsequence and answer."""
     rng, vocabulary = np.random.default_rng(31), words(600, 30)
