@@ -10,8 +10,8 @@ Characters are compared in lower case; everything but letters counts as one sepa
 holds as one unknown letter. Null texts and texts without a letter are ``und`` with score 0; ties go to the first label.
 The score is 1 - best / second, which is 1 if one language alone was learnt. Without labelled text all is ``und``.
 
-Labelled text is sampled: about ``SAMPLE_ROWS`` rows a language, chosen by a hash of the text, ``ROW_CHARS`` characters
-of each, ``CHARS`` a language. That bounds the automata (2 * CHARS states of ``ALPHABET`` entries) whatever the input.
+Labelled text is sampled: about ``SAMPLE_ROWS`` different texts a language, chosen by a hash of the text however many copies
+there are, ``ROW_CHARS`` characters of each, ``CHARS`` a language. That bounds the automata (2 * CHARS states of ``ALPHABET`` entries) whatever the input.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def score_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
 def train(rows: DataFrame, chars: int = CHARS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from text and lang of ``rows``; a bounded sample reaches the driver."""
     rows = rows.where("lang is not null and text rlike '\\\\p{L}'").select("lang", "text")
-    have = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    have = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     if not have:
         return Model([], np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool), [], [])
     share = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, sample_rows / n))])

@@ -145,6 +145,11 @@ def test_cross_parsing_equals_longest_matches(spark):
     assert langid.train(spark.createDataFrame([], "text string, lang string")).langs == []
 
 
+def test_languages_made_of_copies_are_learnt(spark):
+    rows = spark.range(16_000).selectExpr("concat('l', id % 8) AS lang", "concat('text number ', (id div 8) % 10, ' of l', id % 8) AS text")
+    assert langid.train(rows).langs == [f"l{k}" for k in range(8)]
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
 
