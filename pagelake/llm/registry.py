@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, repeats, url_filter, warc
+from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, quality, repeats, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,40 @@ def pipeline(spark, sf):
 @query
 def op3_suffix_dedup(spark, sf):
     return repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# ------------------------------------------------------------------------ quality rules
+@query
+def op11_quality_rules(spark, sf):
+    q = quality.judge(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return q.withColumn("broken", F.array_join("broken", ","))
+
+
+def _broken(rules) -> str:
+    """SQL of the names of the rules that a row breaks, comma-joined."""
+    value = lambda name: "{}::DOUBLE / nullif({}, 0)".format(*quality.RATIOS[name]) if name in quality.RATIOS else name
+    tests = [(r.rule, " OR ".join(f"{value(r.measure)} {sign} {limit}" for sign, limit in (("<", r.low), (">", r.high)) if limit is not None)) for r in rules]
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in tests) + ")"
+
+
+ORACLES["op11_quality_rules"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t
+), win AS (
+  SELECT k, i, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ') AS s FROM (SELECT k, w, unnest(generate_series(1, len(w) - {quality.WINDOW - 1})) AS i FROM w)
+), twice AS (
+  SELECT k, i, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i), i + {quality.WINDOW}) AS nx FROM (SELECT *, count(*) OVER (PARTITION BY k, s) AS c FROM win) WHERE c > 1
+), rep AS (SELECT k, sum(least({quality.WINDOW}, nx - i))::BIGINT AS n FROM twice GROUP BY k
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+    len(list_filter(regexp_split_to_array(lower(translate(text, '{quality.SIGNS.replace("'", "''")}', '')), '[\x20\x09-\x0D]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))}))) AS n_stop_words,
+    len(list_filter(w, lambda x: ends_with(x, '!'))) AS n_shouts, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '([.]{{3}}|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
+  FROM w LEFT JOIN rep USING (k)
+), j AS (SELECT *, {_broken(quality.BASE)} AS base, {_broken(quality.RULES)} AS own FROM m)
+SELECT * EXCLUDE (base, own), base <> '' AS base_failed, concat_ws(',', nullif(base, ''), nullif(own, '')) AS broken, base = '' AND own = '' AS kept FROM j
+"""
