@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, quality, repeats, url_filter, warc
+from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, quality, repeats, tokenalign, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,3 +213,14 @@ WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text
 ), j AS (SELECT *, {_broken(quality.BASE)} AS base, {_broken(quality.RULES)} AS own FROM m)
 SELECT * EXCLUDE (base, own), base <> '' AS base_failed, concat_ws(',', nullif(base, ''), nullif(own, '')) AS broken, base = '' AND own = '' AS kept FROM j
 """
+
+
+# ------------------------------------------------------------------------ cross-tokenizer alignment
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op13_token_alignment(spark, sf):
+    a, b = (tokenalign.read_file(spark, f"{TOKENIZERS}/{f}") for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return tokenalign.align(table(spark, sf, "documents"), a, b)[0]
