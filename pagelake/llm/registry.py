@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, quality, repeats, tokenalign, url_filter, warc
+from pagelake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, quality, repeats, spelling, tokenalign, url_filter, warc
 from pagelake.llm.common import checkpoint_dir, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,3 +224,48 @@ TOKENIZERS = "/opt/tokenizers"
 def op13_token_alignment(spark, sf):
     a, b = (tokenalign.read_file(spark, f"{TOKENIZERS}/{f}") for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return tokenalign.align(table(spark, sf, "documents"), a, b)[0]
+
+
+# ------------------------------------------------------------------------ spelling variants
+@query
+def op12_spelling_variants(spark, sf):
+    return spelling.variants(spelling.corpus_words(table(spark, sf, "documents")))
+
+
+#: CRC-32 of each of the sixteen values of half a byte (polynomial 0xEDB88320), worked out bit by bit.
+def _crc_half(x: int) -> int:
+    for _ in range(4):
+        x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+_HALF = "[" + ", ".join(f"{_crc_half(k)}::BIGINT" for k in range(16)) + "]"
+_STEP = f"xor(({{0}}) >> 4, {_HALF}[(({{0}}) & 15) + 1])"
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '{spelling.RUN}{{6,}}')), '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents
+), d AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL
+), b AS (
+  SELECT *, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END)) AS bytes FROM d
+), h AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: {_STEP.format(_STEP.format("xor(s, x)"))})) AS h FROM b
+), w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM h
+), v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), p AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v
+), cut AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM p
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.rest = v.word
+  UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.rest = v.word
+), s AS (
+  SELECT v.word, v.n, count(near.near) AS n_near, arg_min(near.near, (-near_n, near.near)) AS form, max(near_n) AS form_n FROM v LEFT JOIN near USING (word) GROUP BY v.word, v.n
+), f AS (SELECT word, n, n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM s
+), walk AS (
+  SELECT word, word AS at, form AS nx FROM f
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.nx
+)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word AND walk.nx IS NULL
+"""
