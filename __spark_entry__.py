@@ -116,7 +116,7 @@ def history_append(spark, sf):
 # ------------------------------------------------------------------------ page model
 @query
 def page_tokens(spark, sf):
-    t = H.tokens(D.pages_aug(spark, sf)).where("pos > 0")
+    t = H.tokens(D.pages_aug(spark, sf), ends=False).where("pos > 0")
     return t.select("page_id", "pos", "kind", "tag", F.length("raw").alias("chars"))
 
 
@@ -128,7 +128,7 @@ def page_elements(spark, sf):
 
 @query
 def element_attributes(spark, sf):
-    e = H.with_attributes(H.tokens(D.pages_aug(spark, sf)).where("kind = 'open'"))
+    e = H.with_attributes(H.tokens(D.pages_aug(spark, sf), ends=False).where("kind = 'open'"))
     return e.select("page_id", "pos", "tag", F.explode("attrs").alias("name", "value"))
 
 

@@ -19,6 +19,24 @@ PARAGRAPH_ENDERS = [
     "thead", "tr", "ul",
 ]
 
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+
+# Classes of elements in the HTML standard: boundaries of scopes, special and formatting elements, ends that may be left out.
+SCOPE_TAGS = ["applet", "caption", "html", "marquee", "object", "table", "td", "template", "th"]
+SPECIAL_TAGS = [
+    "address", "applet", "article", "aside", "blockquote", "body", "button", "caption", "center", "colgroup",
+    "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
+    "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header",
+    "hgroup", "html", "iframe", "li", "listing", "main", "marquee", "menu", "nav", "noembed",
+    "noframes", "noscript", "object", "ol", "p", "plaintext", "pre", "search", "section", "select",
+    "summary", "table", "tbody", "td", "template", "textarea", "tfoot", "th", "thead", "title",
+    "tr", "ul", "xmp",
+]
+FORMATTING_TAGS = ["a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"]
+OPTIONAL_END_TAGS = [
+    "caption", "colgroup", "dd", "dt", "head", "li", "optgroup", "option", "p", "rp", "rt", "tbody", "td", "tfoot", "th", "thead", "tr",
+]
+
 # Named character references that are decoded; the ampersand itself is decoded last.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0",

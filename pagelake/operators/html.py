@@ -2,8 +2,8 @@
 
 A page is exchanged once, as one row, by its ``page_id``; everything after that is a window
 or an aggregate over ``page_id`` (or ``page_id`` and more), so Spark adds no further exchange.
-Nothing here pairs elements with each other: nesting is found with running sums and with
-``lead``/``last`` over groups of tokens that can open and close one another.
+Nothing here pairs elements with each other: ends come from one fold over the tags of a page (``scopes``), nesting from
+running sums and ``last`` over the elements of a level.
 """
 
 from __future__ import annotations
@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import rules
 from pagelake.functions.text import decode_entities, strip
+from pagelake.operators import scopes
 
+# What follows a tag's name: a quote only opens a value after "=", and inside quotes ">" does not end the tag.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+>"""
+# Elements whose content is text up to their end tag: scripts and styles are one piece, title and textarea are taken apart.
 TOKEN = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-    r"|</?[a-z!][^>]*>|[^<]+|<"
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"|<(script|style)(?=[\s/>]){_REST}.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+    rf"|<(title|textarea)(?=[\s/>]){_REST}.*?(?:</\2(?=[\s/>])[^>]*>|\z)"
+    rf"|</?[a-z]{_REST}|<[!?][^>]*>|</[^a-z>][^>]*>|</>|[^<]+|<"
 )
-ATTRIBUTE = r"""\s([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
+_RCDATA = rf"(?is)^(<(title|textarea)(?=[\s/>]){_REST})(.*?)(</\2(?=[\s/>])[^>]*>)?\z"
+ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
 
 
 MAX_PARTITIONS = 40_000
@@ -41,9 +48,19 @@ def page_partitions(pages: DataFrame, bytes_per_task: int = 128 << 20) -> int:
     return max(least, min(MAX_PARTITIONS, math.ceil(known / bytes_per_task)))
 
 
-def tokens(pages: DataFrame, partitions: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def _taken_apart(pieces: Column) -> Column:
+    """Pieces in which titles and textareas are three: start tag, text, end tag."""
+    part = lambda p, k: F.regexp_extract(p, _RCDATA, k)
+    whole = lambda p: p.rlike(r"(?i)^<(?:title|textarea)[\s/>]")
+    split = lambda p: F.filter(F.array(*[part(p, k) for k in (1, 3, 4)]), lambda x: x != "")
+    return F.flatten(F.transform(pieces, lambda p: F.when(whole(p), split(p)).otherwise(F.array(p))))
+
+
+def tokens(pages: DataFrame, partitions: int | None = None, carry: list[str] | None = None, ends: bool = True) -> DataFrame:
     """One row per lexical piece in document order; row 0 of each page stands for the page itself.
 
+    ``own_end`` is the place where the element that a piece opens ends, see ``scopes``; ``ends`` False leaves it out.
+
     ``carry`` columns (base URL, options) travel on row 0 only. Pages without html keep row 0.
     ``partitions`` 0 takes the pages as they are clustered, for tables bucketed by ``page_id``:
     Spark then plans no exchange at all.
@@ -51,20 +68,19 @@ def tokens(pages: DataFrame, partitions: int | None = None, carry: list[str] | N
     carry = carry or []
     spread = pages if partitions == 0 else pages.repartition(partitions or page_partitions(pages), "page_id")
     none = F.array().cast("array<string>")
-    spread = spread.select(
-        "page_id", *carry, F.coalesce(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)), none).alias("pieces")
-    ).withColumn("last_pos", F.size("pieces"))
-    out = spread.select(
-        "page_id",
-        *carry,
-        "last_pos",
-        F.posexplode(F.concat(F.array(F.lit("")), F.col("pieces"))).alias("pos", "raw"),
-    )
+    found = F.coalesce(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)), none)
+    spread = spread.select("page_id", *carry, _taken_apart(found).alias("pieces"))
+    rows = F.transform("pieces", lambda p: F.struct(p.alias("raw")))
+    if ends:
+        rows = F.arrays_zip(F.col("pieces").alias("raw"), scopes.own_ends(F.col("pieces")).alias("own_end"))
+    page = F.struct(F.lit("").alias("raw"), *([F.lit(0).alias("own_end")] if ends else []))
+    out = spread.select("page_id", *carry, F.size("pieces").alias("last_pos"), F.posexplode(F.concat(F.array(page), rows)).alias("pos", "t"))
+    out = out.select("page_id", *carry, "last_pos", "pos", "t.*")
     raw = F.col("raw")
     kind = (
         F.when(F.col("pos") == 0, "page")
         .when(raw.startswith("<!--"), "comment")
-        .when(raw.rlike("^</?!"), "decl")
+        .when(raw.rlike("^<(?:[!?]|/[^a-zA-Z])"), "decl")
         .when(raw.rlike("^</[a-zA-Z]"), "close")
         .when(raw.rlike("^<[a-zA-Z]"), "open")
         .otherwise("text")
@@ -76,13 +92,14 @@ def tokens(pages: DataFrame, partitions: int | None = None, carry: list[str] | N
         kind.alias("kind"),
         F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1)).alias("tag"),
         "raw",
+        *(["own_end"] if ends else []),
         *[F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in carry],
     )
 
 
 def attributes(raw: Column) -> Column:
     """Attribute map of a start tag: lower-case names, first one wins, '' for attributes without value."""
-    inner = F.regexp_extract(raw, r"^<[a-zA-Z][a-zA-Z0-9:-]*([^>]*)", 1)
+    inner = F.regexp_extract(raw, rf"(?is)^<[a-z][^\s/>]*((?=[\s/]){_REST})", 1)
     names = F.transform(F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
     values = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(2))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
@@ -95,69 +112,16 @@ def attributes(raw: Column) -> Column:
         ),
     )
     empty = F.create_map().cast("map<string,string>")
-    return F.when(raw.rlike(r"^<[^>\s]+\s"), F.map_from_entries(entries)).otherwise(empty)
-
-
-def _member(group, sign, main: bool) -> Column:
-    g = group if isinstance(group, Column) else F.lit(group)
-    s = sign if isinstance(sign, Column) else F.lit(sign)
-    return F.struct(g.alias("grp"), s.cast("int").alias("sgn"), F.lit(main).alias("main"))
-
-
-def _memberships() -> Column:
-    """Groups of tokens in which a token can open, close or end another one.
-
-    Most tags only meet their own kind. Tags whose end may be left out (p, li, td, th, tr,
-    option, dt, dd) are grouped with what ends them; containers of these carry a sign so that
-    the running sum of signs tells nested lists, tables and selects apart.
-    """
-    tag, kind = F.col("tag"), F.col("kind")
-    s = F.when(kind == "open", 1).otherwise(-1)
-    own = _member(tag, s, True)
-    p = _member("p", 0, False)
-    alone = _member("#", 0, True)
-    return (
-        F.when(~kind.isin("open", "close"), F.array(alone))
-        .when(tag.isin(rules.VOID_TAGS + rules.RAW_TEXT_TAGS), F.array(alone))
-        .when(tag == "p", F.array(_member("p", 0, True)))
-        .when(tag == "li", F.array(_member("li", 0, True), p))
-        .when(tag.isin("td", "th"), F.array(_member("td", 0, True), p))
-        .when(tag == "tr", F.array(_member("tr", 0, True), _member("td", 0, False), p))
-        .when(tag == "option", F.array(_member("option", 0, True)))
-        .when(tag.isin("dt", "dd"), F.array(_member("dd", 0, True), p))
-        .when(tag.isin("ul", "ol"), F.array(own, _member("li", s, False), p))
-        .when(tag == "table", F.array(own, _member("td", s, False), _member("tr", s, False), p))
-        .when(
-            tag.isin("thead", "tbody", "tfoot"),
-            F.array(own, _member("tr", 0, False), _member("td", 0, False), p),
-        )
-        .when(tag == "select", F.array(own, _member("option", s, False)))
-        .when(tag == "dl", F.array(own, _member("dd", s, False), p))
-        .when(tag.isin(rules.PARAGRAPH_ENDERS), F.array(own, p))
-        .otherwise(F.array(own))
-    )
+    return F.when(raw.rlike(r"^<[^>\s/]+[\s/]"), F.map_from_entries(entries)).otherwise(empty)
 
 
 def _closed(tok: DataFrame) -> DataFrame:
     """Start tags with the position of their own end (``own_end``; null when it is missing), and texts."""
-    carried = [c for c in tok.columns if c not in ("page_id", "pos")]
-    rows = tok.select("page_id", "pos", *carried, F.explode(_memberships()).alias("m"))
-    grp = W.partitionBy("page_id", "m.grp").orderBy("pos")
-    rows = rows.withColumn(
-        "level", F.sum("m.sgn").over(grp.rowsBetween(W.unboundedPreceding, 0))
-        + F.when(F.col("m.sgn") == -1, 1).otherwise(0)
-    )
-    same = W.partitionBy("page_id", "m.grp", "level").orderBy("pos")
-    rows = rows.withColumn("nx", F.lead(F.struct("pos", "kind", "tag")).over(same))
-    rows = rows.where(F.col("m.main") & F.col("kind").isin("open", "text", "page"))
-    own_end = (
-        F.when(F.col("kind") != "open", F.col("pos"))
-        .when(F.col("m.grp") == "#", F.col("pos"))
-        .when((F.col("nx.kind") == "close") & (F.col("nx.tag") == F.col("tag")), F.col("nx.pos"))
-        .otherwise(F.col("nx.pos") - 1)
-    )
-    single = (F.col("kind") != "open") | (F.col("m.grp") == "#")
-    return rows.select("page_id", "pos", *carried, own_end.alias("own_end"), single.alias("single"))
+    opens = F.col("kind") == "open"
+    single = ~opens | F.col("tag").isin(rules.VOID_TAGS + rules.RAW_TEXT_TAGS)
+    carried = [c for c in tok.columns if c not in ("page_id", "pos", "own_end")]
+    rows = tok.where(F.col("kind").isin("open", "text", "page"))
+    return rows.select("page_id", "pos", *carried, F.when(single, F.col("pos")).otherwise(F.col("own_end")).alias("own_end"), single.alias("single"))
 
 
 def elements(tok: DataFrame) -> DataFrame:
