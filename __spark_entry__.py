@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 from collections.abc import Callable
 
@@ -166,6 +167,18 @@ def decoded_titles(spark, sf):
     return p.select("page_id", text.decode_entities(t).alias("title"), text.decode_entities(F.concat(t, F.lit(" &#169; &#x2013; &copy;&lt;"))).alias("marked"))
 
 
+@query
+def character_references(spark, sf):
+    """Titles with one of the standard's names each, with and without its semicolon, in a text and in an attribute's value."""
+    names = F.from_json(F.lit(json.dumps([n for n in sorted(text.NAMES) if n.endswith(";")])), "array<string>")
+    name = F.get(names, F.pmod(F.col("page_id") * 7, F.size(names)).cast("int"))
+    bare = F.substring(name, F.lit(1), F.length(name) - 1)
+    p = D.pages(spark, sf).select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), name.alias("name"), bare.alias("bare"))
+    marked = F.concat(F.lit("&"), "title", F.lit("&amp;lt; &#38;lt; &"), "name", F.lit("&_"), "name", F.lit(" &"), "bare", F.lit(" &notit; &#x80;&#xD800;&#1;."))
+    value = F.concat(F.lit("?a=1&"), "bare", F.lit("=2&"), "name", F.lit("&copy=3&copy;&lt"))
+    return p.select("page_id", "name", text.decode_entities(marked).alias("in_text"), text.decode_entities(value, attribute=True).alias("in_value"))
+
+
 @query
 def visible_lengths(spark, sf):
     return D.pages_aug(spark, sf).select("page_id", text.visible_len(F.col("html")).alias("visible"))

@@ -108,7 +108,7 @@ def attributes(raw: Column) -> Column:
         first,
         lambda p: F.struct(
             p["k"].alias("k"),
-            decode_entities(F.regexp_replace(p["v"], r"""(?s)^(["'])(.*)["']$""", "$2")).alias("v"),
+            decode_entities(F.regexp_replace(p["v"], r"""(?s)^(["'])(.*)["']$""", "$2"), attribute=True).alias("v"),
         ),
     )
     empty = F.create_map().cast("map<string,string>")

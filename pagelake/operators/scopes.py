@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelake.functions import rules
+from pagelake.functions.text import let
 
 PART = 256
 # What an element is to those that look through it.
@@ -24,11 +25,6 @@ _STACK = "array<struct<tag:string,grp:string,flags:int,at:int>>"
 _ENDS = "array<struct<at:int,end:int>>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _flags(tag: Column) -> Column:
     def bit(cond: Column, value: int) -> Column:
         return F.when(cond, F.lit(value)).otherwise(F.lit(0))
@@ -96,13 +92,13 @@ def _step(acc: Column, x: Column) -> Column:
             hit, wall = F.array_position(m, 1), F.array_position(m, 2)
             return F.when((hit > 0) & ((wall == 0) | (hit < wall)), hit).otherwise(0).cast("int")
 
-        return _let(marks, first)
+        return let(marks, first)
 
     def with_depth(k: Column) -> Column:
         # A block inside a formatting element outlives it: the number of open elements from that block inwards.
         inner = F.transform(F.slice(stack, 1, F.greatest(k - 1, F.lit(0))), lambda e, i: F.when(e["flags"].bitwiseAND(SPECIAL) != 0, i + 1))
         outlives = F.when(close & (x["flags"].bitwiseAND(FORMAT) != 0) & (k > 1), F.array_max(inner))
-        return _let(F.coalesce(outlives, F.lit(0)), lambda j: changed(k, j))
+        return let(F.coalesce(outlives, F.lit(0)), lambda j: changed(k, j))
 
     def changed(k: Column, j: Column) -> Column:
         end = F.when(j > 0, F.get(stack, j - 1)["at"] - 1).when(close, x["pos"]).otherwise(x["pos"] - 1)
@@ -114,14 +110,14 @@ def _step(acc: Column, x: Column) -> Column:
         rest = F.slice(stack, k + 1, F.greatest(F.size(stack) - k, F.lit(0)))
         kept = F.when(close, F.when(k == 0, stack).otherwise(F.concat(F.slice(stack, 1, j), rest))).otherwise(F.concat(F.array(own), rest))
         return F.when(k == 0, F.struct(kept.alias("stack"), acc["done"].alias("done"), acc["part"].alias("part"))).otherwise(
-            _let(F.concat(acc["part"], ended), lambda p: F.struct(
+            let(F.concat(acc["part"], ended), lambda p: F.struct(
                 kept.alias("stack"),
                 F.when(F.size(p) >= PART, F.concat(acc["done"], F.array(p))).otherwise(acc["done"]).alias("done"),
                 F.when(F.size(p) >= PART, F.array().cast(_ENDS)).otherwise(p).alias("part"),
             ))
         )
 
-    return _let(F.coalesce(F.array_max(F.transform(x["wants"], found)), F.lit(0)), with_depth)
+    return let(F.coalesce(F.array_max(F.transform(x["wants"], found)), F.lit(0)), with_depth)
 
 
 def own_ends(pieces: Column) -> Column:
@@ -147,4 +143,4 @@ def own_ends(pieces: Column) -> Column:
         alone = F.transform(F.filter(tags, lambda t: ~(nests(t) & ~t["close"])), lambda t: F.struct(t["pos"].alias("at"), t["pos"].alias("end")))
         return F.transform(F.sort_array(F.concat(ended, alone.cast(_ENDS))), lambda e: e["end"])
 
-    return _let(F.transform(pieces, tagged), of)
+    return let(F.transform(pieces, tagged), of)
