@@ -127,6 +127,17 @@ def page_elements(spark, sf):
     return e.select("page_id", "pos", "epos", "tag", "parent_pos", "parent_tag")
 
 
+@query
+def repaired_elements(spark, sf):
+    """Elements of misnested markup, with places counted from the block around it."""
+    e = H.elements(H.tokens(D.pages_misnested(spark, sf))).where("kind = 'open'")
+    odd = F.col("tag").eqNullSafe("div") & F.col("raw").eqNullSafe('<div class="odd">')
+    block = F.last(F.when(odd, F.struct("pos", "epos")), ignorenulls=True).over(W.partitionBy("page_id").orderBy("pos"))
+    e = e.withColumn("block", block).where(F.col("pos").between(F.col("block.pos") + 1, F.col("block.epos")))
+    at = F.col("block.pos")
+    return e.select("page_id", "tag", (F.col("pos") - at).alias("pos"), (F.col("epos") - at).alias("epos"), (F.col("parent_pos") - at).alias("parent"))
+
+
 @query
 def element_attributes(spark, sf):
     e = H.with_attributes(H.tokens(D.pages_aug(spark, sf), ends=False).where("kind = 'open'"))

@@ -247,3 +247,16 @@ def lift_log(spark: SparkSession, sf: str) -> DataFrame:
             F.create_map(F.lit("Host"), F.lit("api.example"), F.lit("Cookie"), F.lit("s=1"), F.lit("Accept"), F.lit("*/*")),
         ).otherwise(F.create_map(F.lit("Host"), F.lit("api.example"), F.lit("Content-Length"), F.lit("2"), F.lit("Accept"), F.lit("*/*"))).alias("headers"),
     )
+
+
+# Markup with missing, crossing and superfluous tags, by page_id modulo their number.
+MISNESTED = [
+    "<div><span>x</div>y</span>z", "<b>1<i>2</b>3</i>", "<b>1<div>2</b>3</div>", "<ul><li>a<div>b<li>c</ul>",
+    "<table><tr><td>a</tr><tr><td>b<table><tr><td>c</table>d</table>", '<a title="x>y" href=/p?a=1>t<a href=y>2</a>',
+]
+
+
+def pages_misnested(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose article begins with a ``div`` of class ``odd`` around a piece of ``MISNESTED``."""
+    piece = F.get(F.array(*map(F.lit, MISNESTED)), F.pmod("page_id", F.lit(len(MISNESTED))).cast("int"))
+    return pages(spark, sf).withColumn("html", F.replace("html", F.lit("<article>"), F.concat(F.lit('<article><div class="odd">'), piece, F.lit("</div>"))))
