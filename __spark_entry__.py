@@ -19,6 +19,7 @@ from pagelake.operators import evaluation as E
 from pagelake.operators import html as H
 from pagelake.operators import markdown as M
 from pagelake.operators import routing as R
+from pagelake.operators import templates as T
 from pagelake.plans import derived as D
 from pagelake.plans import extract as X
 from pagelake.session import checkpoint_dir, prepare, written
@@ -569,6 +570,26 @@ def template_reuse(spark, sf):
     return K.reuse_actions(fp, a).select("page_id", "rank", "type", "label")
 
 
+@query
+def path_patterns(spark, sf):
+    """Patterns of all paths, of the pages' URLs and of shorter ones made of their hosts' names."""
+    p = D.pages(spark, sf)
+    more = p.select(F.concat(F.lit("https://all.example/u/"), urls.netloc(F.col("url")), F.when(F.col("page_id") % 2 == 0, "/a").otherwise("/b")).alias("url"))
+    some = p.select(F.concat(F.lit("https://all.example/s/"), F.substring("url", -1, 1)).alias("url"))
+    t = T.path_patterns(p.select("url").unionByName(more).unionByName(some))
+    return t.select("domain", F.array_join("tokens", "/").alias("path"), "path_pattern")
+
+
+@query
+def template_families(spark, sf):
+    return T.families(D.pages_aug(spark, sf)).select("page_id", "domain", "path_pattern", "shape", "family")
+
+
+@query
+def family_catalogue(spark, sf):
+    return T.catalogue(T.families(D.pages_aug(spark, sf)))
+
+
 @query
 def action_ids(spark, sf):
     p = D.pages_aug(spark, sf).withColumn("base", F.col("url"))
