@@ -25,6 +25,7 @@ from pagelake.plans import extract as X
 from pagelake.session import checkpoint_dir, prepare, written
 from pagelake.sources import tables as S
 from pagelake.streaming import cache_stream as CS
+from pagelake.streaming import ttl_stream as TS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -468,6 +469,52 @@ def cache_kpis(spark, sf):
     return k.select(micros("window_start"), "host", "requests", "hits", "stores", "hit_rate")
 
 
+@query
+def cache_stream_resumed(spark, sf):
+    """The replay by user: requests of the first half of the time in batch, the others as a stream that starts from what was open."""
+    e = S.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
+        F.lit(86400).alias("ttl"), F.lit(True).alias("storable"), F.lit(True).alias("use_cache"))
+    lo, hi = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    half = F.timestamp_micros(F.lit((lo + hi) // 2))
+    batch = C.cache_replay(e.where(F.col("ts") < half))
+    folder = f"{checkpoint_dir(spark)}/requests-{uuid.uuid4().hex}"
+    e.where(F.col("ts") >= half).write.parquet(folder)
+    clock = spark.range(1).select(
+        F.lit(TS.CLOCK).cast("bigint").alias("id"), F.lit("clock").alias("key"), F.timestamp_micros(F.lit(hi + 30 * 86_400_000_000)).alias("ts"),
+        F.lit(1).alias("ttl"), F.lit(False).alias("storable"), F.lit(False).alias("use_cache"))
+    clock.write.mode("append").parquet(folder)
+    stream = TS.ttl_stream(spark.readStream.schema(e.schema).parquet(folder), slot_seconds=86_400, start=TS.open_entries(batch))
+    out = CS.run_available(stream).select("id", "outcome", "stored", F.col("stored_us").alias("stored_at"))
+    return out.unionByName(batch.select("id", "outcome", "stored", F.unix_micros("stored_at").alias("stored_at")))
+
+
+def _with_content(spark, sf):
+    r = C.cache_keys(D.requests(spark, sf)).withColumn("key", F.col("probe_key"))
+    out = C.cache_replay(r.select("id", "ts", "key", "url", "ttl", "storable", "use_cache"))
+    return out.join(r.select("id", F.col("markdown").alias("content")), "id")
+
+
+@query
+def revalidated(spark, sf):
+    k = C.revalidation_kpis(C.revalidations(_with_content(spark, sf)), "6 hours")
+    return k.withColumn("window_start", F.unix_micros("window_start"))
+
+
+@query
+def cache_kpi_stream(spark, sf):
+    """Windows that are final in a stream of the replay's outcomes."""
+    folder = f"{checkpoint_dir(spark)}/outcomes-{uuid.uuid4().hex}"
+    _replayed(spark, sf).select("ts", "url", "outcome").write.parquet(folder)
+    stream = spark.readStream.schema("ts timestamp, url string, outcome string").parquet(folder)
+    return CS.run_available(CS.kpi_stream(stream, "6 hours")).select(micros("window_start"), "host", "requests", "hits")
+
+
+@query
+def rate_limit_sliding(spark, sf):
+    return C.sliding_flags(D.requests(spark, sf).select("id", "ts", "url"), 3, 3600)
+
+
 @query
 def rate_limit_flags(spark, sf):
     return C.rate_flags(D.requests(spark, sf), 3, "1 hour").select(micros("window_start"), "host", "requests", "rate_limited", "over")
@@ -655,6 +702,14 @@ def act_lookup(spark, sf):
     return r.select("request_id", "action_id", "contract", "error")
 
 
+@query
+def act_lookup_long(spark, sf):
+    """Act requests against contracts of which every fourth is valid for ten years."""
+    r, c = D.contract_log(spark, sf)
+    c = c.withColumn("expires_at", F.when(F.col("contract") % 4 == 0, F.col("created_at") + F.expr("interval 3650 days")).otherwise(F.col("expires_at")))
+    return K.resolve_act(r, c).select("request_id", "action_id", "contract", micros("created_at"), "error")
+
+
 @query
 def control_locators(spark, sf):
     return K.locators(D.pages_aug(spark, sf)).select("page_id", "tag", "role", "name", "locator", "pos")
@@ -674,6 +729,15 @@ def reachable_states(spark, sf):
     return K.reachable(edges, start, 2).groupBy("step").agg(F.count("*").alias("states"))
 
 
+@query
+def reachable_all(spark, sf):
+    """All states that actions lead to from the states of English pages, with the fewest actions and a way there."""
+    a, fp = _contracts(spark, sf)
+    edges = written(K.action_graph(a, fp))
+    start = fp.where(F.col("path_pattern").startswith("/en/")).select(F.col("template").alias("node")).distinct()
+    return K.paths(K.distances(edges, start)).select("node", "step", F.array_join("path", " ").alias("path"))
+
+
 @query
 def usage_metering(spark, sf):
     e = S.table(spark, sf, "events").select(

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,6 +227,29 @@ def cache_kpis(replayed: DataFrame, every: str = "1 hour") -> DataFrame:
     )
 
 
+def revalidations(replayed: DataFrame) -> DataFrame:
+    """``replayed`` (id, key, ts, stored, content) with ``revalidated``: whether a store after the first of its key found the content unchanged.
+
+    Null where nothing was stored or nothing had been. Only stores are compared with each other; a key has at most one
+    in each life of an entry.
+    """
+    order = W.partitionBy("key").orderBy("ts", "id")
+    stores = replayed.where("stored").select("id", "key", "ts", F.sha2("content", 256).alias("digest"))
+    before = F.lag("digest").over(order)
+    same = stores.select("id", F.when(before.isNotNull(), before == F.col("digest")).alias("revalidated"))
+    return replayed.join(same, "id", "left")
+
+
+def revalidation_kpis(checked: DataFrame, every: str = "1 hour") -> DataFrame:
+    """Per host and window: requests, stores, refreshes (stores of a key stored before), revalidated ones and their share."""
+    again = F.col("revalidated")
+    g = checked.groupBy(F.window("ts", every).alias("w"), urls.netloc(F.col("url")).alias("host")).agg(
+        F.count("*").alias("requests"), F.sum(F.col("stored").cast("int")).alias("stores"),
+        F.count(again).alias("refreshes"), F.count(F.when(again, 1)).alias("revalidated"))
+    share = F.round(F.col("revalidated") / F.nullif(F.col("refreshes"), F.lit(0)), 6)
+    return g.select(F.col("w.start").alias("window_start"), "host", "requests", "stores", "refreshes", "revalidated", share.alias("revalidated_share"))
+
+
 def rate_flags(requests: DataFrame, limit: int, every: str = "1 minute") -> DataFrame:
     """Hosts and windows with more requests than the limit allows."""
     return (
@@ -239,6 +263,32 @@ def rate_flags(requests: DataFrame, limit: int, every: str = "1 minute") -> Data
     )
 
 
+def sliding_flags(requests: DataFrame, limit: int, seconds: int = 60, block_seconds: int = 60) -> DataFrame:
+    """id, host, in_window, rate_limited of every request (id, ts, url): requests of its host in the ``seconds`` up to it, itself and equal times included; ids name requests.
+
+    The number is a difference of two running counts, at the request and ``seconds`` before it. A running count is what
+    its block of time is carried in (from counts of blocks and of days) and the count inside the block, so a host
+    is only ever brought together block by block.
+    """
+    us, block, day = F.col("us"), block_seconds * 1_000_000, 86_400 * 1_000_000
+    r = requests.select("id", urls.netloc(F.col("url")).alias("host"), F.unix_micros("ts").alias("us"))
+    points = r.select("id", "host", F.explode(F.array(
+        F.struct(us.alias("at"), F.lit(1).alias("one")), F.struct((us - seconds * 1_000_000).alias("at"), F.lit(0).alias("one")),
+    )).alias("p")).select("id", "host", "p.*")
+    points = points.withColumns({"block": F.floor(F.col("at") / block), "day": F.floor(F.floor(F.col("at") / block) * block / day)})
+    blocks = points.groupBy("host", "day", "block").agg(F.sum("one").alias("n"))
+    days = blocks.groupBy("host", "day").agg(F.sum("n").alias("n"))
+    before = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("host", "day", F.coalesce(F.sum("n").over(before("host").orderBy("day")), F.lit(0)).alias("days_before"))
+    blocks = blocks.withColumn("blocks_before", F.coalesce(F.sum("n").over(before("host", "day").orderBy("block")), F.lit(0)))
+    carried = blocks.join(days, ["host", "day"]).select("host", "block", (F.col("days_before") + F.col("blocks_before")).alias("carried"))
+    inside = F.sum("one").over(W.partitionBy("host", "block").orderBy("at").rangeBetween(W.unboundedPreceding, 0))
+    counted = points.withColumn("inside", inside).join(carried, ["host", "block"])
+    total = F.col("carried") + F.col("inside")
+    out = counted.groupBy("id", "host").agg(F.sum(F.when(F.col("one") == 1, total).otherwise(-total)).alias("in_window"))
+    return out.withColumn("rate_limited", F.col("in_window") > limit)
+
+
 def normalised_keys(requests: DataFrame, pattern: str = rules.TRACKING_PARAMETER) -> DataFrame:
     """Groups of URLs that share a normalised form: how many forms and requests each merges.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import rules, urls
 from pagelake.functions.text import short_hash
 from pagelake.operators import html as H
+from pagelake.session import written
 
 # Tags that shape a page: landmarks, headings, lists, tables and controls.
 SHAPE_TAGS = [
@@ -243,24 +245,69 @@ def lift(net: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------- lookup
-def resolve_act(requests: DataFrame, contracts: DataFrame, bucket: str = "day") -> DataFrame:
-    """Newest contract valid at the time of each act request; or why there is none.
+def _reigns(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stretches of time in which one contract of an action is the newest valid one; the contract is null between them.
 
-    An as-of join without a per-action sort: a contract is listed under every day it is valid
-    in (its life bounds how many), requests meet it by action and day, and the newest match is
-    a map-side combined maximum. A much-used action is spread over its days.
+    ``rows`` are the versions of one action. Walks through them by start and keeps those that outlive all newer ones.
+    """
+    rows = rows.sort_values(["created", "contract", "requires_confirm"])
+    alive: list[tuple[int, str]] = []  # ends and versions, newest last, ends falling
+    out: list[tuple[int, str | None]] = []
+
+    def until(now: float) -> None:
+        while alive and alive[-1][0] <= now:
+            end, _ = alive.pop()
+            out.append((end, alive[-1][1] if alive else None))
+
+    for created, expires, version in zip(rows["created"].tolist(), rows["expires"].tolist(), rows["version"].tolist()):
+        until(created)
+        while alive and alive[-1][0] <= expires:
+            alive.pop()
+        alive.append((expires, version))
+        out.append((created, version))
+    until(float("inf"))
+    last = dict(out)  # of several changes at one time the last holds
+    return pd.DataFrame({"action_id": rows["action_id"].iloc[0], "at": list(last), "version": list(last.values())})
+
+
+def reigns(contracts: DataFrame) -> DataFrame:
+    """action_id, at, version: which contract (by a JSON of its columns) is the newest valid one from ``at`` on.
+
+    A contract takes two rows at most, however long it lives. Only the versions of one action are brought together; they
+    are as many as its verifications, not its requests.
     """
-    step = f"interval 1 {bucket}"
-    days = F.sequence(F.date_trunc(bucket, "created_at"), F.date_trunc(bucket, F.greatest("created_at", "expires_at")), F.expr(step))
     # A contract that ends before it starts is never valid.
-    c = contracts.where("created_at < expires_at").select("action_id", "created_at", "expires_at", "requires_confirm", "contract", F.explode(days).alias("at_day"))
-    r = requests.withColumn("at_day", F.date_trunc(bucket, "ts"))
-    hit = (
-        r.join(c, ["action_id", "at_day"])
-        .where((F.col("created_at") <= F.col("ts")) & (F.col("ts") < F.col("expires_at")))
-        .groupBy("request_id")
-        .agg(F.max(F.struct("created_at", "contract", "requires_confirm")).alias("c"))
-    )
+    c = contracts.where("created_at < expires_at").select(
+        "action_id", "contract", "requires_confirm", F.unix_micros("created_at").alias("created"), F.unix_micros("expires_at").alias("expires"),
+        F.to_json(F.struct("contract", "requires_confirm", F.unix_micros("created_at").alias("created"))).alias("version"))
+    return c.groupBy("action_id").applyInPandas(_reigns, "action_id string, at long, version string")
+
+
+def resolve_act(requests: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Newest contract valid at the time of each act request; or why there is none. ``request_id`` names requests.
+
+    An as-of join: requests and changes of contracts stand in one table ranged by action and time. A much-used action
+    takes several ranges; what holds at the end of a range is carried to the next ones of the action.
+    """
+    at = F.unix_micros("ts").alias("at")
+    kind = dict(requests.dtypes)["request_id"]
+    changes = reigns(contracts).select("action_id", "at", F.struct("version").alias("change"), F.lit(None).cast(f"struct<id:{kind}>").alias("r"))
+    asked = requests.select("action_id", at, F.lit(None).cast("struct<version:string>").alias("change"), F.struct(F.col("request_id").alias("id")).alias("r"))
+    # Changes at the time of a request come before it.
+    order = [F.col("at"), F.col("r").isNotNull()]
+    ranged = changes.unionByName(asked).repartitionByRange("action_id", *order).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged)
+    ends = ranged.where("change is not null").groupBy("action_id", "part").agg(F.max_by("change", "at").alias("change"))
+    parts = ranged.groupBy("action_id", "part").agg(F.count("*").alias("n")).join(ends, ["action_id", "part"], "left")
+    before = W.partitionBy("action_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.select("action_id", "part", F.last("change", ignorenulls=True).over(before).alias("change")).where("change is not null")
+    carried = carried.select("action_id", F.lit(-(1 << 62)).alias("at"), "change", F.lit(None).cast(f"struct<id:{kind}>").alias("r"), "part")
+    run = W.partitionBy("action_id", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    held = ranged.unionByName(carried).withColumn("held", F.last("change", ignorenulls=True).over(run)).where("r is not null")
+    types = dict(contracts.dtypes)
+    version = F.from_json("held.version", f"contract {types['contract']}, requires_confirm boolean, created bigint")
+    hit = held.select(F.col("r.id").alias("request_id"), version.alias("v")).where("v is not null")
+    hit = hit.select("request_id", F.struct(F.timestamp_micros("v.created").alias("created_at"), "v.contract", "v.requires_confirm").alias("c"))
     j = requests.join(hit, "request_id", "left")
     err = F.when(F.col("c").isNull(), "action_not_found").when(
         F.col("c.requires_confirm") & ~F.coalesce(F.col("confirm"), F.lit(False)), "mutating_not_confirmed"
@@ -317,21 +364,40 @@ def action_graph(actions: DataFrame, fp: DataFrame) -> DataFrame:
     return j.groupBy("src", F.coalesce("dst", unseen).alias("dst"), "type").agg(F.sum("n").alias("support"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
-    """Templates reachable from ``starts`` (column ``node``) within ``steps`` actions, with the fewest steps.
+def reachable(edges: DataFrame, starts: DataFrame, steps: int | None = None) -> DataFrame:
+    """node, step: templates reachable from ``starts`` (column ``node``) with the fewest actions; within ``steps``, or all there are."""
+    return distances(edges, starts, steps).select("node", "step")
+
+
+def distances(edges: DataFrame, starts: DataFrame, steps: int | None = None) -> DataFrame:
+    """node, step, by: fewest actions from ``starts`` (column ``node``) to each node of ``edges`` (src, dst), and the node before it (the smallest, null for starts).
 
-    Each round joins only what the round before found for the first time.
+    Each round joins only what the round before found for the first time, and is written; it ends when nothing is new.
     """
-    links = edges.select("src", "dst").distinct()
-    found = starts.select("node", F.lit(0).alias("step"))
-    frontier = found
-    for i in range(1, steps + 1):
-        nxt = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = nxt.join(found.select("node"), "node", "left_anti").withColumn("step", F.lit(i))
-        found = found.unionByName(frontier)
+    links = written(edges.where("src <> dst").select("src", "dst").distinct())
+    found = frontier = written(starts.where("node is not null").select("node").distinct().select("node", F.lit(0).alias("step"), F.lit(None).cast("string").alias("by")))
+    step = 0
+    while steps is None or step < steps:
+        step += 1
+        nxt = links.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("by"))
+        frontier = written(nxt.join(found.select("node"), "node", "left_anti").select("node", F.lit(step).alias("step"), "by"))
+        if not frontier.limit(1).count():
+            break
+        found = written(found.unionByName(frontier))
     return found
 
 
+def paths(reached: DataFrame) -> DataFrame:
+    """node, step, path: a shortest way to each node of ``distances``, from its start on. As many rounds as the longest way has steps."""
+    out = written(reached.where("step = 0").select("node", "step", F.array("node").alias("path")))
+    done, last = out, reached.agg(F.max("step")).first()[0] or 0
+    for step in range(1, last + 1):
+        here = reached.where(F.col("step") == step).select("node", "step", "by")
+        out = written(here.join(out.select(F.col("node").alias("by"), "path"), "by").select("node", "step", F.concat("path", F.array("node")).alias("path")))
+        done = done.unionByName(out)
+    return done
+
+
 def usage(events: DataFrame) -> DataFrame:
     """Requests and cost per customer, endpoint and day, with all sub-totals."""
     return (

@@ -85,3 +85,30 @@ def test_kpi_stream_gives_closed_windows(spark, sf, tmp_path):
     want = r.withColumn("stored", F.lit(False)).transform(lambda d: C.cache_kpis(d, "6 hours"))
     kept = got.join(want, ["window_start", "host", "requests", "hits"])
     assert got.count() > 0.9 * want.count() and kept.count() == got.count()
+
+
+def test_sliding_windows_equal_plain_count_with_a_hot_host(spark):
+    rnd = random.Random(11)
+    rows = [(k, "https://hot.example/x" if rnd.random() < 0.7 else f"https://h{rnd.randrange(5)}.example/", 86_300 + rnd.randrange(900) * rnd.choice([1, 1, 400])) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, url string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: (r.in_window, r.rate_limited) for r in C.sliding_flags(df, 20, seconds=60, block_seconds=7).collect()}
+    want = {k: sum(u == url and s - 60 < t <= s for _, u, t in rows) for k, url, s in rows}
+    assert got == {k: (n, n > 20) for k, n in want.items()} and any(n > 20 for n in want.values())
+
+
+def test_sliding_windows_keep_no_host_together(spark):
+    df = spark.createDataFrame([(1, "https://a.example/", 5)], "id long, url string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    plan = C.sliding_flags(df, 1)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    by_request = [x for x in windows if "sum(one" in x]
+    assert len(windows) == 3 and len(by_request) == 1
+    assert all("block#" in x for x in by_request)
+
+
+def test_revalidated_content(spark):
+    rows = [(1, "a", 0, True, "x"), (2, "a", 5, False, "x"), (3, "a", 9, True, "x"), (4, "a", 20, True, "y"), (5, "b", 3, True, None), (6, "b", 9, True, "x"), (7, "b", 30, True, "x"), (8, "c", 1, False, "z")]
+    df = spark.createDataFrame(rows, "id long, key string, s long, stored boolean, content string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id: r.revalidated for r in C.revalidations(df).collect()}
+    assert got == {1: None, 2: None, 3: True, 4: False, 5: None, 6: None, 7: True, 8: None}
+    k = C.revalidation_kpis(C.revalidations(df.withColumn("url", F.lit("https://h.example/"))), "1 hour").first()
+    assert (k.requests, k.stores, k.refreshes, k.revalidated, k.revalidated_share) == (8, 6, 3, 2, 0.666667)
