@@ -23,6 +23,7 @@ from pagelake.operators import templates as T
 from pagelake.plans import derived as D
 from pagelake.plans import extract as X
 from pagelake.session import checkpoint_dir, prepare, written
+from pagelake.sources import history as Hi
 from pagelake.sources import tables as S
 from pagelake.streaming import cache_stream as CS
 from pagelake.streaming import ttl_stream as TS
@@ -116,6 +117,19 @@ def history_append(spark, sf):
     )
 
 
+@query
+def history_commits(spark, sf):
+    """Two commits, the first of them repeated; the history as of each version."""
+    path = f"{checkpoint_dir(spark)}/commits-{uuid.uuid4().hex}"
+    r = X.responses(D.fetches(spark, sf))
+    days = {d: written(S.history_rows(r, F.lit(f"2024-01-0{d} 06:00:00").cast("timestamp"), F.lit("0" * 16))) for d in (1, 2)}
+    for day in (1, 2, 1):
+        Hi.commit(days[day], path, f"day {day}")
+    seen = lambda v: Hi.read(spark, path, days[1].schema, v).withColumn("version", F.lit(v))
+    return seen(1).unionByName(seen(2)).groupBy("version").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("url").alias("urls"), F.unix_micros(F.max("created_at")).alias("newest"))
+
+
 # ------------------------------------------------------------------------ page model
 @query
 def page_tokens(spark, sf):
@@ -313,6 +327,19 @@ def stage_timings(spark, sf):
     return R.timing_report(r)
 
 
+@query
+def timing_sketches(spark, sf):
+    """Percentiles from merged sketches of hosts and days, and whether their exact ranks are within the stated error."""
+    r = X.responses(D.fetches(spark, sf), D.renders(spark, sf))
+    r = written(r.select(F.col("meta.url").alias("url"), F.pmod("page_id", F.lit(7)).alias("day"), F.col("meta.extraction_path").alias("extraction_path"), F.col("meta.timings_ms").alias("timings_ms")))
+    stored = written(R.timing_sketches(r))
+    m = R.merged_timings(stored, ["path", "stage"])
+    long = r.select(F.col("extraction_path").alias("path"), F.explode("timings_ms").alias("stage", "ms")).where("ms is not null").join(m.drop("n"), ["path", "stage"])
+    share = lambda c: F.sum(c.cast("int")) / F.count("*")
+    near = lambda c, p: ((share(F.col("ms") < F.col(c)) <= p + R.RANK_ERROR) & (share(F.col("ms") <= F.col(c)) >= p - R.RANK_ERROR))
+    return long.groupBy("path", "stage").agg(F.count("*").alias("n"), near("p50_ms", 0.5).alias("p50_near"), near("p95_ms", 0.95).alias("p95_near"))
+
+
 @query
 def domain_hints(spark, sf):
     r = X.responses(D.fetches(spark, sf), D.renders(spark, sf)).select(
@@ -600,6 +627,17 @@ def action_stability(spark, sf):
     return E.stability(before, after)
 
 
+@query
+def locator_stability(spark, sf):
+    """Controls of all pages after a link was put before the list of links, or one more of the first link's name behind it."""
+    p = D.pages(spark, sf)
+    first = F.regexp_extract("html", r'<li><a href="[^"]*">([^<]*)</a></li>', 1)
+    kind = F.pmod("page_id", F.lit(3))
+    html = F.when(kind == 0, F.replace("html", F.lit("<ul>"), F.lit('<ul><li><a href="/new">Brand new</a></li>')))
+    html = html.when(kind == 1, F.replace("html", F.lit("</ul>"), F.concat(F.lit('<li><a href="/x">'), first, F.lit("</a></li></ul>")))).otherwise(F.col("html"))
+    return E.locator_stability(written(K.locators(p)), written(K.locators(p.withColumn("html", html))))
+
+
 # ------------------------------------------------------------------------ contracts
 @query
 def page_templates(spark, sf):

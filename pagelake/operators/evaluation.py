@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.functions import rules
 from pagelake.functions.text import word_count
 from pagelake.operators.routing import ticks_report
+from pagelake.session import written
 
 
 def quoted(c: Column) -> Column:
@@ -190,3 +195,75 @@ def stability(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, ["page_id", "action_key"], "full").groupBy("page_id").agg(
         n(in_b & in_a).alias("kept"), n(in_b & ~in_a).alias("lost"), n(~in_b & in_a).alias("new")
     ).withColumn("stable", (F.col("lost") == 0) & (F.col("new") == 0))
+
+
+def _in_order(places: Column) -> Column:
+    """For a list of places whether each belongs to its longest ascending part (of several, the one with the smallest ends)."""
+
+    def one(x) -> list[bool]:
+        tails, at, before = [], [], []
+        for k, v in enumerate(x):
+            i = bisect.bisect_left(tails, v)
+            before.append(at[i - 1] if i else -1)
+            tails[i:i + 1], at[i:i + 1] = [v], [k]
+        keep, k = [False] * len(x), at[-1] if at else -1
+        while k >= 0:
+            keep[k], k = True, before[k]
+        return keep
+
+    @F.pandas_udf("array<boolean>")
+    def all_of(lists: pd.Series) -> pd.Series:
+        return lists.map(one)
+
+    return all_of(places)
+
+
+def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
+    """page_id, pos, pos_after: which control of a later extraction is which of an earlier one (both: ``contracts.locators``).
+
+    Controls of equal tag, role, name and test id are paired in their order; of the pairs those in ascending order hold. Between
+    them, what is left is paired by tag and role alone. All keys start with the page, whose controls are few.
+    """
+    strong, weak = ["tag", "role", "name", "testid"], ["tag", "role", "gap"]
+
+    def paired(b: DataFrame, a: DataFrame, keys: list[str]) -> DataFrame:
+        nth = lambda d: d.withColumn("nth", F.row_number().over(W.partitionBy("page_id", *keys).orderBy("pos")))
+        x, y = nth(b).alias("b"), nth(a).alias("a")
+        same = [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in ["page_id", "nth", *keys]]
+        pairs = x.join(y, same).select("b.page_id", "b.pos", F.col("a.pos").alias("pos_after"))
+        lists = pairs.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "pos_after"))).alias("p"))
+        held = lists.select("page_id", F.explode(F.arrays_zip("p", _in_order(F.col("p.pos_after")).alias("ok"))).alias("z"))
+        return held.where("z.ok").select("page_id", "z.p.pos", "z.p.pos_after")
+
+    anchors = written(paired(before, after, strong))
+
+    def left_over(d: DataFrame, place: str) -> DataFrame:
+        """Controls without a partner, with the number of anchors before them."""
+        marks = anchors.select("page_id", F.col(place).alias("pos"), F.lit(1).alias("anchor"))
+        j = d.select("page_id", "pos", "tag", "role").join(marks, ["page_id", "pos"], "left")
+        gap = F.count("anchor").over(W.partitionBy("page_id").orderBy("pos"))
+        return j.withColumn("gap", gap).where("anchor is null")
+
+    return anchors.unionByName(paired(left_over(before, "pos"), left_over(after, "pos_after"), weak))
+
+
+def locator_stability(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per page of ``before``: controls, and how many of their locators name the same control in ``after``, another one, or none or several (kept, moved, lost)."""
+    numbered = lambda d: d.withColumn("nth", F.row_number().over(W.partitionBy("page_id", "tag").orderBy("pos")))
+    ways = {
+        "role": F.concat_ws("\u0001", F.lit("role"), "role", "name"), "testid": F.concat_ws("\u0001", F.lit("testid"), "testid"),
+        "label": F.concat_ws("\u0001", F.lit("label"), "name"), "structural": F.concat_ws("\u0001", F.lit("structural"), "tag", F.col("nth").cast("string")),
+    }
+    pick = F.lit(None).cast("string")
+    for kind, key in ways.items():
+        pick = F.when(F.col("locator") == kind, key).otherwise(pick)
+    asked = numbered(before).select("page_id", "pos", pick.alias("key"))
+    named = numbered(after).select("page_id", "pos", F.explode(F.array(*ways.values())).alias("key"))
+    found = named.groupBy("page_id", "key").agg(F.count("*").alias("n"), F.min("pos").alias("named"))
+    same = aligned(before, after)
+    j = asked.join(found, ["page_id", "key"], "left").join(same, ["page_id", "pos"], "left")
+    lost = F.coalesce(F.col("n") != 1, F.lit(True))
+    kept = ~lost & F.coalesce(F.col("named") == F.col("pos_after"), F.lit(False))
+    count = lambda c: F.sum(c.cast("int"))
+    g = j.groupBy("page_id").agg(F.count("*").alias("controls"), count(kept).alias("kept"), count(~lost & ~kept).alias("moved"), count(lost).alias("lost"))
+    return g.withColumn("share", F.round(F.col("kept") / F.col("controls"), 6))

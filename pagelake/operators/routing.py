@@ -138,6 +138,24 @@ def ticks_report(long: DataFrame, keys: list[str], shares: tuple[float, ...]) ->
     )
 
 
+#: Size of a KLL sketch, and the error of its ranks that may be relied on (the sketch's own bound is below one in a hundred).
+SKETCH, RANK_ERROR = 400, 0.02
+
+
+def timing_sketches(responses: DataFrame) -> DataFrame:
+    """host, day, path, stage, n, sketch: quantile sketches of the times (ms) of ``responses`` (url, day, extraction_path, timings_ms), to be stored and merged."""
+    long = responses.select(
+        urls.netloc(F.col("url")).alias("host"), "day", F.col("extraction_path").alias("path"), F.explode("timings_ms").alias("stage", "ms")
+    ).where("ms is not null")
+    return long.groupBy("host", "day", "path", "stage").agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("ms").cast("double"), SKETCH).alias("sketch"))
+
+
+def merged_timings(sketches: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """n and percentiles per ``keys`` of any sketches put together; their ranks are off by ``RANK_ERROR`` at most."""
+    g = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    return g.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(p * 100)}_ms") for p in shares])
+
+
 def domain_hints(responses: DataFrame, share: float = 0.5, least: int = 1) -> DataFrame:
     """Hosts that should be rendered without trying the static path first, and hosts that block."""
     host = urls.netloc(F.col("url"))
