@@ -30,6 +30,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Tables that ``written`` made in this process and that are still there.
+TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table written to the shared folder, for plans that read them more than once.
 
@@ -37,9 +41,32 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_by(df: DataFrame) -> set[str]:
+    """Folders that ``df`` reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found: set[str] = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(k).toString() for k in range(roots.size())}
+    return found
+
+
+def drop(spark: SparkSession, tables: list[str]) -> None:
+    """Remove tables of ``written`` that nobody reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in tables:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in TABLES:
+            TABLES.remove(path)
+
+
 def local(cpus: str = "*") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
