@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import checkpoint_dir, prepare, written  # noqa: F401
+from pagelake.session import TABLES, checkpoint_dir, drop, prepare, read_by, written  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on, small enough to stay in a core's cache; longer single texts are worked on in blocks cut between words.

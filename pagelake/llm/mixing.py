@@ -140,19 +140,28 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: fl
     """
     domains = list(shares)
     own = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_tokens", "p", "rate", "copies")]
-    scored = with_posteriors(docs, domains, *learn(docs, labels, domains)).select(*own, "n_tokens", "p")
-    least = F.lit(0.0)
-    if whole is not None:
-        label = known_domains(labels, domains).select(F.col("doc_id").alias("__id"), F.col("domain").alias("__label"))
-        scored = scored.join(label, F.col("doc_id") == F.col("__id"), "left")
-        likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int"))
-        least = (F.coalesce("__label", likeliest) == whole).cast("double")
-    scored = written(scored.select(*own, "n_tokens", "p", least.alias("least")))
-    sums = scored.agg(F.sum("n_tokens").alias("all"), *[F.sum(F.col("n_tokens") * F.col("least") * F.col("p")[k]).alias(f"f{k}") for k in range(len(domains))]).first()
+    model = learn(docs, labels, domains)
+
+    def scored(columns: list[str]) -> DataFrame:
+        """``columns`` of the documents with n_tokens, p and the least rate."""
+        rows = with_posteriors(docs.select(*dict.fromkeys(["doc_id", "text", *columns])), domains, *model)
+        least = F.lit(0.0)
+        if whole is not None:
+            label = known_domains(labels, domains).select(F.col("doc_id").alias("__id"), F.col("domain").alias("__label"))
+            rows = rows.select(*dict.fromkeys(["doc_id", *columns]), "n_tokens", "p").join(label, F.col("doc_id") == F.col("__id"), "left")
+            likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int"))
+            least = (F.coalesce("__label", likeliest) == whole).cast("double")
+        return rows.select(*columns, "n_tokens", "p", least.alias("__least"))
+
+    # What the rates are fitted to is written without the texts; rates are then an expression over the documents.
+    few = own if set(own) <= {"doc_id"} else []
+    fitted = written(scored(few))
+    sums = fitted.agg(F.sum("n_tokens").alias("all"), *[F.sum(F.col("n_tokens") * F.col("__least") * F.col("p")[k]).alias(f"f{k}") for k in range(len(domains))]).first()
     tokens = budget * (sums["all"] or 0)
     if whole is not None:
         tokens = max([(sums[f"f{k}"] or 0.0) / shares[d] for k, d in enumerate(domains) if shares[d] > 0], default=0.0)
-    path = fit_rates(scored, [tokens * shares[d] for d in domains])
+    path = fit_rates(fitted.withColumnRenamed("__least", "least"), [tokens * shares[d] for d in domains])
+    rows = fitted if own and few else scored(list(dict.fromkeys(["doc_id", *own])))
     draw = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(41)), F.lit(1_000_003)) / 1_000_003
-    out = scored.withColumn("rate", rates(F.col("p"), path, F.col("least"))).drop("least")
-    return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("bigint"))
+    out = rows.withColumn("rate", rates(F.col("p"), path, F.col("__least")))
+    return out.select(*own, "n_tokens", "p", "rate", F.floor(F.col("rate") + draw).cast("bigint").alias("copies"))
