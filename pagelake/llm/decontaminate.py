@@ -175,7 +175,7 @@ class Items:
         self.idf, self.weighted = idf, (basis * idf[:, None]).astype(np.float32)
         keep = [k for k, w in enumerate(hashed) if len(w) >= SHORTEST]
         self.ids, self.words, self.answers = [ids[k] for k in keep], [hashed[k] for k in keep], [answers[k] for k in keep]
-        self.sets = [frozenset(w.tolist()) for w in self.words]
+        self.sorted = [np.unique(w) for w in self.words]
         # One more row for the filling between texts.
         self.weighted = np.append(self.weighted, np.zeros((1, basis.shape[1]), np.float32), axis=0)
         latent = np.array([self.weighted[w % BUCKETS].sum(0) for w in self.words]).reshape(len(self.words), basis.shape[1])
@@ -230,9 +230,9 @@ class Items:
             n, jump = size // STRIDE, max(1, size // (4 * STRIDE))
             at = np.arange(0, int(begin[-1]) // STRIDE, jump)
             x = run[at + n] - run[at]
+            x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
             cos = x @ self.latent[items].T
-            cos /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
-            for i, j in zip(*np.nonzero(cos >= COSINE)):
+            for i, j in np.argwhere(cos >= COSINE) if cos.size and cos.max() >= COSINE else ():
                 a = int(at[i]) * STRIDE
                 first, last = np.searchsorted(begin, [a, a + size - 1], "right") - 1
                 for g in range(int(first), min(int(last), len(group) - 1) + 1):
@@ -271,7 +271,14 @@ class Items:
             starts = np.arange(0, int(begin[-1]), STRIDE)
             inside = run[np.searchsorted(block[lo:hi], -(-(starts + size + size // 2) // STRIDE), "left")]
             inside = inside - run[np.searchsorted(block[lo:hi], (starts - size // 2) // STRIDE, "left")]
-            for a in starts[inside >= self.least[k]].tolist():
+            starts = starts[inside >= self.least[k]]
+            if not len(starts):
+                continue
+            # Words of the region that the item has at all; a region over the end of its text is counted too high, never too low.
+            own = self.sorted[k]
+            has = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w)])
+            shared = has[np.searchsorted(at, starts + size + size // 2)] - has[np.searchsorted(at, starts - size // 2)]
+            for a in starts[shared >= LCS * len(self.words[k]) - 1e-9].tolist():
                 g = int(np.searchsorted(begin, a, "right")) - 1
                 self._judge(group[g], a - int(begin[g]), size, k, None, found)
 
@@ -285,10 +292,12 @@ class Items:
         if best and best[1] >= 0.999:
             return
         region = w[max(0, a - size // 2):a + size + size // 2]
-        in_item = self.sets[k]
-        if sum(x in in_item for x in region.tolist()) < LCS * len(item) - 1e-9:
+        least, own = LCS * len(item) - 1e-9, self.sorted[k]
+        shared = region[own[np.minimum(np.searchsorted(own, region), len(own) - 1)] == region]
+        if len(shared) < least:
             return
-        if np.isin(item, region).sum() < LCS * len(item) - 1e-9:
+        there = set(shared.tolist())
+        if sum(x in there for x in item.tolist()) < least:
             return
         share = lcs_length(item, region) / len(item)
         if share < LCS or (best and best[1] >= share):
