@@ -28,6 +28,8 @@ from pagelake.llm.common import BYTE_VALUE, U64, mix, partitions, powers, text_b
 SPAN, GRAM, CROWD, RUN, PREFIX = 400, 200, 20_000, 20_000, 32
 #: Suffixes whose groups are compared in one numpy step (a larger group is a step of its own).
 TOGETHER = 2048
+#: Rows of a batch that are Python objects at once.
+ROWS = 128
 SMALL_KEYS = 1_000_000
 
 
@@ -205,12 +207,19 @@ def repeated(groups: list[list[tuple]]) -> Iterator[tuple[int, int, int, int]]:
             yield group[i][2], group[i][3], group[i][4] - (b - 1), group[i][4] - a + SPAN
 
 
-def _entries(b: pa.RecordBatch, hot: bool) -> Iterator[tuple]:
-    for k1, k2, text, places in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text").to_pylist(), b.column("places").to_pylist()):
-        data = text.encode()
-        for p in places:
-            if p["hot"] == hot:
-                yield data[p["at"]:p["at"] + SPAN], data[max(0, p["at"] - SPAN + GRAM):p["at"]], k1, k2, p["at"]
+def _some(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch a few at a time: as Python objects they take several times their bytes."""
+    for lo in range(0, b.num_rows, ROWS):
+        yield b.slice(lo, ROWS)
+
+
+def _entries(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple]:
+    for b in _some(batch):
+        for k1, k2, text, places in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text").to_pylist(), b.column("places").to_pylist()):
+            data = text.encode()
+            for p in places:
+                if p["hot"] == hot:
+                    yield data[p["at"]:p["at"] + SPAN], data[max(0, p["at"] - SPAN + GRAM):p["at"]], k1, k2, p["at"]
 
 
 def _runs(splitters: list[bytes]):
@@ -262,7 +271,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, runs = None, []
     for b in batches:
-        for r, run in zip(b.column("range").to_pylist(), b.column("run").to_pylist()):
+        for r, run in ((b.column("range")[i].as_py(), b.column("run")[i].as_py()) for i in range(b.num_rows)):
             if r != now and runs:
                 yield from finish(runs)
                 runs = []
@@ -292,7 +301,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for batch in batches for part in _some(batch)):
         removed, spans, digest = [], [], []
         for text, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
             data, at, kept, gone, n = text.encode(), 0, hashlib.sha256(), 0, 0
