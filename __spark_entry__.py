@@ -720,6 +720,21 @@ def lifted_requests(spark, sf):
     return r.select("request_id", "method", "url_template", F.array_join(F.map_keys("headers"), ",").alias("headers"), "auth")
 
 
+@query
+def lifted_bodies(spark, sf):
+    r = K.lift_whole(D.lift_log_whole(spark, sf))
+    return r.select("request_id", "method", "url_template", "body_template", "auth", "lifted")
+
+
+@query
+def hinted_fetches(spark, sf):
+    """Strategy that each fetch gets from what was learnt of its host."""
+    f = D.fetches(spark, sf)
+    r = X.responses(f, D.renders(spark, sf)).select(
+        F.col("meta.url").alias("url"), F.col("meta.extraction_path").alias("extraction_path"), F.col("error.code").alias("error_code"))
+    return R.with_hints(f.select("page_id", "url"), R.domain_hints(r)).select("page_id", "hint")
+
+
 @query
 def action_confidence(spark, sf):
     g = _guarded(spark, sf).where("not noise").withColumns({

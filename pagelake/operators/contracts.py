@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.functions import rules, urls
-from pagelake.functions.text import short_hash
+from pagelake.functions.text import let, short_hash
 from pagelake.operators import html as H
 from pagelake.session import written
 
@@ -244,6 +244,68 @@ def lift(net: DataFrame) -> DataFrame:
     )
 
 
+def _plain(value: Column) -> Column:
+    """A segment or form value as the parameter it came from was written; null if its escapes are broken."""
+    return F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%20")))
+
+
+def _placeholder(value: Column) -> Column:
+    """``{name}`` of the first parameter (by name) whose whole value this is; null if there is none."""
+    names = F.array_sort(F.map_keys(F.map_filter("params", lambda k, x: (x == value) & (x != ""))))
+    return F.concat(F.lit("{"), F.get(names, F.lit(0)), F.lit("}"))
+
+
+def _form(text: Column) -> Column:
+    """``a=1&b=2`` with placeholders for values of parameters."""
+
+    def pair(p: Column) -> Column:
+        named = _placeholder(_plain(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)))
+        return F.when(p.contains("=") & named.isNotNull(), F.concat(F.regexp_extract(p, "^[^=]*=", 0), named)).otherwise(p)
+
+    return F.array_join(F.transform(F.split(text, "&"), pair), "&")
+
+
+# A string, number or word of a JSON text, and what parts them.
+_JSON_PARTS = r'"(?:[^"\\]++|\\.)*+"|[^"{}\[\]:,\s]++|[{}\[\]:,\s]++|"'
+
+
+def _json(text: Column) -> Column:
+    """A JSON text in which values (not names) that equal a parameter are placeholders; strings stay strings."""
+    parts = F.regexp_extract_all(text, F.lit(_JSON_PARTS), F.lit(0))
+
+    def shown(p: Column, after: Column) -> Column:
+        is_text = p.startswith('"')
+        value = F.when(is_text, F.get_json_object(F.concat(F.lit('{"v":'), p, F.lit("}")), "$.v")).otherwise(p)
+        named = _placeholder(value)
+        name_of_field = is_text & F.coalesce(after.rlike(r"^\s*:"), F.lit(False))
+        quote = F.when(is_text, F.lit('"')).otherwise("")
+        return F.when(named.isNotNull() & ~name_of_field, F.concat(quote, named, quote)).otherwise(p)
+
+    return let(parts, lambda x: F.array_join(F.transform(x, lambda p, i: shown(p, F.get(x, i + 1))), ""))
+
+
+def lift_whole(net: DataFrame) -> DataFrame:
+    """HTTP contract with placeholders in path, query and body of observed requests (request_id, method, url, params, headers, body).
+
+    A path segment, form value or JSON value is replaced if it is, as a whole and unescaped, the value of a parameter. Bodies
+    that are neither a form nor JSON (by their content type) stay as they are. ``lifted`` tells whether every parameter
+    with a value found a place.
+    """
+    kind = F.lower(F.coalesce(F.get(F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == "content-type")), F.lit(0)), F.lit("")))
+    start = F.regexp_extract("url", r"^([^:/?#]+:)?(//[^/?#]*)?", 0)
+    segment = lambda x: F.coalesce(_placeholder(F.try_url_decode(x)), x)
+    path = F.array_join(F.transform(F.split(urls.path(F.col("url")), "/"), segment), "/")
+    query = urls.query(F.col("url"))
+    template = F.concat(start, path, F.when(query != "", F.concat(F.lit("?"), _form(query))).otherwise(""))
+    body = F.when(kind.contains("json"), _json(F.col("body"))).when(kind.contains("form-urlencoded"), _form(F.col("body"))).otherwise(F.col("body"))
+    headers = F.map_filter("headers", lambda k, v: ~F.lower(k).isin(rules.HOP_HEADERS))
+    cookie = F.exists(F.map_keys("headers"), lambda k: F.lower(k) == "cookie")
+    out = net.select("request_id", "method", "params", template.alias("url_template"), body.alias("body_template"), headers.alias("headers"), F.when(cookie, "cookie").otherwise("none").alias("auth"))
+    places = F.concat_ws(" ", "url_template", "body_template")
+    found = F.forall(F.map_entries("params"), lambda p: (p["value"] == "") | places.contains(F.concat(F.lit("{"), p["key"], F.lit("}"))))
+    return out.select("request_id", "method", "url_template", "body_template", "headers", "auth", F.coalesce(found, F.lit(False)).alias("lifted"))
+
+
 # ------------------------------------------------------------------------------- lookup
 def _reigns(rows: pd.DataFrame) -> pd.DataFrame:
     """Stretches of time in which one contract of an action is the newest valid one; the contract is null between them.

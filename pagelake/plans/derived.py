@@ -249,6 +249,17 @@ def lift_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lift_log_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``lift_log`` with parameters in paths, forms and JSON bodies, by event_id modulo 3."""
+    r, kind = lift_log(spark, sf), F.pmod("request_id", F.lit(3))
+    q, user = F.col("params")["query"], F.col("params")["user"]
+    url = F.when(kind == 0, F.concat(F.lit("https://api.example/u/"), user, F.lit("/find/"), q, F.lit("?v=1"))).otherwise("https://api.example/s?v=1")
+    body = F.when(kind == 1, F.concat(F.lit("q="), q, F.lit("&user="), user, F.lit("&v=x"))).when(
+        kind == 2, F.concat(F.lit('{"q": "'), q, F.lit('", "ids": [0'), user, F.lit(", "), user, F.lit('], "user": "x"}')))
+    sort = F.when(kind == 1, "application/x-www-form-urlencoded").otherwise("application/json; charset=utf-8")
+    return r.select("request_id", "method", url.alias("url"), "params", F.map_concat("headers", F.create_map(F.lit("Content-Type"), sort)).alias("headers"), body.alias("body"))
+
+
 # Markup with missing, crossing and superfluous tags, by page_id modulo their number.
 MISNESTED = [
     "<div><span>x</div>y</span>z", "<b>1<i>2</b>3</i>", "<b>1<div>2</b>3</div>", "<ul><li>a<div>b<li>c</ul>",

@@ -189,3 +189,20 @@ def test_a_contract_that_ends_before_it_starts_is_never_found(spark):
     requests = spark.sql("SELECT 'r' AS request_id, 'x' AS action_id, timestamp'2024-01-02 12:00:00' AS ts, true AS confirm")
     bad = spark.sql("SELECT 'x' AS action_id, timestamp'2024-01-05' AS created_at, timestamp'2024-01-01' AS expires_at, false AS requires_confirm, 'c' AS contract")
     assert [r.error for r in K.resolve_act(requests, bad).collect()] == ["action_not_found"]
+
+
+def test_lifted_paths_forms_and_json(spark):
+    jsons = {"Content-Type": "application/json"}
+    form = {"content-type": "application/x-www-form-urlencoded", "Cookie": "s"}
+    rows = [
+        (1, "https://h.example/a/J%C3%BCrgen%20B/x?q=a+b&q2=c%26d&e=", {"name": "Jürgen B", "q": "a b", "r": "c&d", "none": ""}, jsons, None),
+        (2, "https://h.example/s", {"q": 'say "hi"\\', "n": "7", "f": "true", "k": "q"}, jsons, '{"q": "say \\"hi\\"\\\\", "n": [7, 77, "7"], "x": {"f": true, "q":"q"}}'),
+        (3, "/rel/7?x", {"a": "7", "b": "7"}, form, "x=7&7=8&y"),
+        (4, "https://h.example/%zz/7", {"n": "9"}, {}, "n=9"),
+    ]
+    df = spark.createDataFrame(rows, "request_id long, url string, params map<string,string>, headers map<string,string>, body string").withColumn("method", F.lit("POST"))
+    got = {r.request_id: (r.url_template, r.body_template, r.auth, r.lifted) for r in K.lift_whole(df).collect()}
+    assert got[1] == ("https://h.example/a/{name}/x?q={q}&q2={r}&e=", None, "none", True)
+    assert got[2] == ("https://h.example/s", '{"q": "{q}", "n": [{n}, 77, "{n}"], "x": {"f": {f}, "q":"{k}"}}', "none", True)
+    assert got[3] == ("/rel/{a}?x", "x={a}&7=8&y", "cookie", False)
+    assert got[4] == ("https://h.example/%zz/7", "n=9", "none", False)
