@@ -9,11 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that results or plans depend on; cluster sizing stays with whoever runs the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Rows with whole texts: ten thousand of them, as Spark deals by default, take tens of megabytes on either side of each task.
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "1000")
     return spark
 
 
