@@ -8,10 +8,10 @@ seen decides which are redacted too.
 The trees learn from what the rules and contexts tell, but must judge without it, so that they find more than these do:
 base spans are also shown in disguise (``name (at) host (dot) org``, phones without their plus sign, card groups parted
 by other signs), and runs behind an assignment to a name such as ``token`` or ``password`` are examples of secrets, while
-no feature tells of that name. Written-out addresses that no rule knows are no counter-examples. The table they
-learn from is that of ``SAMPLE_DOCS`` documents drawn by a hash (a bounded sample, the same however the rows are dealt);
-histograms of gradients are grouped in Spark, only their (feature, value) sums reach the driver, and the finished trees
-are column expressions, applied to all documents in one projection.
+no feature tells of that name. Written-out addresses that no rule knows are no counter-examples. They learn from all
+documents: examples with equal features and truth are one row with their number. Histograms of gradients are grouped in
+Spark, only their (feature, value) sums reach the driver, and the finished trees are column expressions, applied to all
+documents in one projection.
 
 A candidate that touches a base span adds nothing; of overlapping added spans the best score wins, then the first. Null
 text counts as empty. Spans count code points, ends exclusive. Rows are judged by their text alone, so null and repeated
@@ -218,11 +218,11 @@ def sample_of(docs: DataFrame, at_most: int = SAMPLE_DOCS) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(1_000_003)) / 1_000_003 < share).select("text").limit(2 * at_most)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, Trees]:
-    """Trees and threshold of each kind from a sample of ``docs`` (text); a kind with too few examples gets none."""
-    rows = written(examples(sample_of(docs, sample)))
+def fit(docs: DataFrame) -> dict[str, Trees]:
+    """Trees and threshold of each kind from all of ``docs`` (text); a kind with too few examples gets none."""
+    rows = written(examples(docs).groupBy("f", "y", "test").agg(F.count("*").alias("n")))
     models: dict[str, Trees] = {}
-    have = rows.where("not test").agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k].cast("int")).alias(kind) for k, kind in enumerate(ADDED)]).first()
+    have = rows.where("not test").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("y")[k], F.col("n"))).alias(kind) for k, kind in enumerate(ADDED)]).first()
     for kind in ADDED:
         if have.n and min(have[kind] or 0, have.n - (have[kind] or 0)) >= LEAST:
             models[kind] = Trees()
@@ -234,8 +234,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, Trees]:
         cols = {}
         for name, (kind, side) in sides.items():
             p = models[kind].score(f)
-            cols[f"g_{name}"] = F.when(side, F.col("y")[ADDED.index(kind)].cast("double") - p).otherwise(0.0)
-            cols[f"h_{name}"] = F.when(side, p * (1 - p)).otherwise(0.0)
+            cols[f"g_{name}"] = F.when(side, F.col("n") * (F.col("y")[ADDED.index(kind)].cast("double") - p)).otherwise(0.0)
+            cols[f"h_{name}"] = F.when(side, F.col("n") * p * (1 - p)).otherwise(0.0)
         e = learn.select(F.posexplode("f").alias("feature", "value"), *[c.alias(n) for n, c in cols.items()])
         got = e.groupBy("feature", "value").agg(*[F.sum(n).alias(n) for n in cols]).toPandas()
         out = {}
@@ -252,8 +252,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, Trees]:
             (low, l0, l1), (high, l2, l3) = _best(*halves[f"{k}_low"]), _best(*halves[f"{k}_high"])
             models[k].trees.append((root, low, high, (l0, l1, l2, l3)))
     for kind, m in models.items():
-        y = F.col("y")[ADDED.index(kind)].cast("int")
-        by = rows.where("test").groupBy(F.floor(m.score(F.col("f")) * 100).alias("s")).agg(F.count("*").alias("n"), F.sum(y).alias("hit")).toPandas().sort_values("s", ascending=False)
+        hit = F.when(F.col("y")[ADDED.index(kind)], F.col("n")).otherwise(0)
+        by = rows.where("test").groupBy(F.floor(m.score(F.col("f")) * 100).alias("s")).agg(F.sum("n").alias("n"), F.sum(hit).alias("hit")).toPandas().sort_values("s", ascending=False)
         good = by[(by["hit"].cumsum() / by["n"].cumsum()) >= PRECISION]
         if len(good):
             m.threshold = float(good["s"].min()) / 100
@@ -276,7 +276,7 @@ def find(docs: DataFrame, keep: list[str] | None = None, models: dict[str, Trees
     """``docs`` (with a column text) with ``base`` and ``spans``: arrays of kind, start, end, by kind as listed, then start.
 
     ``keep`` names the columns to keep, all by default; columns named base or spans are replaced. The documents are read
-    for the sample and once more for the result; nothing of them is written.
+    for the examples and once more for the result; nothing of them is written.
     """
     own = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("base", "spans")]
     if models is None:

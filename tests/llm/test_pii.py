@@ -1,5 +1,6 @@
 """Added spans of personal data: planted disguises and secrets that the base rules miss, beside numbers of other kinds."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -70,3 +71,14 @@ def test_overlapping_repeated_and_null_rows(spark):
     null = next(r for r in got if r.doc_id is None and r.text)
     assert [(s.kind, null.text[s.start:s.end]) for s in null.spans] == [("secret", null.text[-41:-1])]
     assert next(len(r.base) for r in got if r.doc_id == 9) == 2000 or any(len(r.base) == 2000 for r in got)
+
+
+def test_trees_learn_from_every_document(spark):
+    """Secrets in 2 of 1,000 of more documents than a sample of 20,000 would hold."""
+    secret = F.concat(F.lit("token = "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 30), F.lit("a7"))
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 3, secret).otherwise(F.concat(F.lit("no 1"), F.col("id") + 100_000)).alias("text"))
+    e = pii.examples(df).where("not test")
+    n, secrets = e.count(), e.where(F.col("y")[pii.ADDED.index("secret")]).count()
+    assert secrets >= pii.LEAST
+    model = pii.fit(df)["secret"]
+    assert abs(model.base - math.log(secrets / (n - secrets))) < 1e-9 and model.threshold is not None
