@@ -64,3 +64,20 @@ def test_starts_from_the_entries_of_a_batch(spark, tmp_path):
     got = run(spark, d, f"{tmp_path}/state", f"{tmp_path}/out", start=TS.open_entries(replayed))
     want = batch(spark, rows)
     assert got == {r[0]: want[r[0]] for r in after} and any(want[r[0]][0] == "hit" and want[r[0]][2] < cut * 1_000_000 for r in after)
+
+
+def test_keys_share_state(spark, tmp_path):
+    """Rows of state follow buckets and slots, not keys; a null key is a key."""
+    r = random.Random(3)
+    rows = [(k, r.choice([None, *(f"k{i}" for i in range(300))]), T0 + r.randrange(9_000), r.choice([0, 900, 4000]), r.random() < 0.9, r.random() < 0.9) for k in range(2000)]
+    d = f"{tmp_path}/in"
+    frame(spark, rows).coalesce(1).write.parquet(d)
+    s = TS.ttl_stream(spark.readStream.schema(SCHEMA).parquet(d), late="12 hours", buckets=4)
+    q = s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    slots = len({row[2] // 3600 for row in rows})
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4 * slots * 8
+    clock(spark, d, T0 + 200_000)
+    got = run(spark, d, f"{tmp_path}/state", f"{tmp_path}/out", late="12 hours", buckets=4)
+    want = batch(spark, [(*row[:1], row[1] or "none", *row[2:]) for row in rows])
+    assert got == want
