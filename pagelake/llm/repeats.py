@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import BYTE_VALUE, U64, mix, partitions, powers, text_buffers, written
@@ -356,11 +357,23 @@ def _with_keys(df: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFr
     return df.join(F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys, ["k1", "k2"], how)
 
 
+def joined(stretches: DataFrame) -> DataFrame:
+    """The stretches of each text (k1, k2, lo, hi), those that overlap or touch made one.
+
+    A string in very many places gives one stretch for each of its places; a text's whole list would be far larger than the text.
+    """
+    order = W.partitionBy("k1", "k2").orderBy("lo")
+    end = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+    first = stretches.withColumn("first", F.when(end >= F.col("lo"), 0).otherwise(1))
+    runs = first.withColumn("run", F.sum("first").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("k1", "k2", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"))
-    cuts = written(intervals(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")))
+    cuts = written(joined(intervals(keyed)).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))
     zero = F.lit(0).cast("bigint")
     whole = _with_keys(keyed, cuts, "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     kind = docs.schema["doc_id"].dataType.simpleString()

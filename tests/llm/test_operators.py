@@ -333,3 +333,9 @@ def test_pipeline_keeps_columns_and_filters(spark):
     want = {r.doc_id for r in registry.QUERIES["op7_near_duplicates"](spark, SF).where("kept").collect()}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == want
     assert [name for name, _ in C.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "mixture"]
+
+
+def test_stretches_of_a_text_are_joined(spark):
+    rows = [(1, 1, k, k + 400) for k in range(0, 3000, 1)] + [(1, 1, 5000, 5400), (1, 1, 5400, 5800), (1, 1, 5100, 5200), (1, 2, 5801, 6201), (1, 2, 5801, 6201)]
+    got = repeats.joined(spark.createDataFrame(rows, "k1 long, k2 long, lo long, hi long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0, 3399), (1, 1, 5000, 5800), (1, 2, 5801, 6201)]
