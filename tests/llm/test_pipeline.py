@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
+
 from pagelake.llm import decontaminate
 from pagelake.llm.common import written
 
@@ -93,3 +95,13 @@ def test_mixture_keeps_every_clean_document(spark):
     clean = {r.doc_id for r in docs.select("doc_id").collect() if domain.get(r.doc_id) == "clean"}
     toxic = {r.doc_id for r in docs.select("doc_id").collect() if domain.get(r.doc_id) == "toxic"}
     assert clean and clean <= kept and len(toxic & kept) <= 0.1 * len(toxic)
+
+
+def test_personal_data_learns_from_every_document(spark):
+    """Secrets too rare for a sample of 20,000 documents to tell of them."""
+    value = F.concat(F.translate(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 30), "0123456789", "ghijklmnop"), F.lit("a7"))
+    secret = F.concat(F.lit("a token = "), value, F.lit(" b"))
+    text = F.when(F.col("id") % 500 == 3, secret).otherwise(F.concat(F.lit("no 1"), F.col("id") + 100_000))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text")).withColumn("n_chars", F.length("text"))
+    got = C.personal_data(spark, docs, SF).where("doc_id % 500 = 3").groupBy("text", "n_chars").count().collect()
+    assert sum(r["count"] for r in got if (r.text, r.n_chars) == ("a token = <SECRET> b", 20)) >= 60
