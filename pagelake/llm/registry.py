@@ -175,7 +175,7 @@ def pipeline(spark, sf):
 # ------------------------------------------------------------------------ repeats
 @query
 def op3_suffix_dedup(spark, sf):
-    return repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return repeats.deduplicated(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 # ------------------------------------------------------------------------ quality rules

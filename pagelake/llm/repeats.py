@@ -303,24 +303,26 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (part for batch in batches for part in _some(batch)):
-        removed, spans, digest = [], [], []
+        removed, spans, digest, left = [], [], [], []
         for text, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
-            data, at, kept, gone, n = text.encode(), 0, hashlib.sha256(), 0, 0
+            data, at, kept, gone, n = text.encode(), 0, [], 0, 0
             end = -1
             for c in sorted((c["lo"], c["hi"]) for c in cuts):
                 if c[0] > end:
-                    kept.update(data[max(at, 0):c[0]])
+                    kept.append(data[max(at, 0):c[0]])
                     n += 1
                     gone += c[1] - c[0]
                     at = end = c[1]
                 elif c[1] > end:
                     gone += c[1] - end
                     at = end = c[1]
-            kept.update(data[at:])
+            kept.append(data[at:])
+            rest = b"".join(kept)
             removed.append(gone)
             spans.append(n)
-            digest.append(kept.hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            digest.append(hashlib.sha256(rest).hexdigest())
+            left.append(rest.decode("utf-8", "ignore"))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def intervals(keyed: DataFrame) -> DataFrame:
@@ -369,13 +371,22 @@ def joined(stretches: DataFrame) -> DataFrame:
     return runs.groupBy("k1", "k2", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row of ``docs`` (doc_id, text).
+
+    ``text`` is what remains. Cuts are made between bytes: a character of which only some bytes remain is left out of
+    ``text``, but not of ``kept_sha256``.
+    """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"))
     cuts = written(joined(intervals(keyed)).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))
     zero = F.lit(0).cast("bigint")
-    whole = _with_keys(keyed, cuts, "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    whole = _with_keys(keyed, cuts, "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = _with_keys(keyed, cuts).join(cuts, ["k1", "k2"]).mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    cut = _with_keys(keyed, cuts).join(cuts, ["k1", "k2"]).mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
     return whole.union(cut)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``deduplicated`` without the texts: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return deduplicated(docs).drop("text")

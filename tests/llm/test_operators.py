@@ -116,6 +116,21 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     assert sorted(tuple(r)[1:] for r in got) == removed(texts)
 
 
+def test_suffix_dedup_returns_what_remains(spark, tmp_path):
+    """The result held no text, so that no reader of it could see whether a repeated passage had gone."""
+    p, n = " ".join(words(90, 5)), 400
+    texts = [None, "no repeat é", f"first {p} end", f"{p}é", f"{p}è", "é" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op3_suffix_dedup"](spark, str(tmp_path)).collect()}
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[s:s + n] for b in data for s in range(len(b) - n + 1))
+    for i, b in enumerate(data):
+        gone = {x for s in range(len(b) - n + 1) if seen[b[s:s + n]] > 1 for x in range(s, s + n)}
+        rest = bytes(x for k, x in enumerate(b) if k not in gone)
+        assert got[i].text == rest.decode("utf-8", "ignore") and got[i].kept_sha256 == hashlib.sha256(rest).hexdigest()
+    assert got[2].text == "first  end" and got[1].text == texts[1] and got[0].text == got[3].text == got[4].text == got[5].text == ""
+
+
 def test_loser_tree_orders_and_counts_common_prefixes():
     rng = np.random.default_rng(0)
     runs, rows = [], []
