@@ -11,6 +11,10 @@ group, and all SPAN-byte strings around the group's anchors are compared at once
 A gram in more than ``CROWD`` places would be one large group; its strings are counted by hash over all tasks instead.
 Texts with equal bytes are worked on once; where there are several of SPAN bytes or more, all of each goes. Matches do
 not cross texts. Null text counts as empty; ids may be null or repeated, each row gets its result.
+
+Passages of over 50 words that another row has too are counted beside that, also those of fewer bytes than SPAN: every
+string of PASSAGE words belongs to the lowest hash of its strings of WORD_GRAM words, which equal strings share; only
+strings whose lowest hash comes from several texts are listed and counted.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import BYTE_VALUE, U64, mix, partitions, powers, text_buffers, written
+from pagelake.llm.common import BLANKS, BYTE_VALUE, U64, mix, partitions, powers, slices, text_buffers, words, written
 
 SPAN, GRAM, CROWD, RUN, PREFIX = 400, 200, 20_000, 20_000, 32
 #: Suffixes whose groups are compared in one numpy step (a larger group is a step of its own).
@@ -32,16 +36,22 @@ TOGETHER = 2048
 #: Rows of a batch that are Python objects at once.
 ROWS = 128
 SMALL_KEYS = 1_000_000
+PASSAGE, WORD_GRAM = 51, 16
+
+
+def _rolled(values: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every ``n`` values in a row."""
+    if len(values) < n:
+        return np.zeros(0, U64)
+    up, down = powers(len(values))
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * up, out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[:len(values) - n + 1])
 
 
 def _hashes(data: np.ndarray, n: int) -> np.ndarray:
     """Hash of every ``n``-byte string."""
-    if len(data) < n:
-        return np.zeros(0, U64)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * up, out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[:len(data) - n + 1])
+    return _rolled(BYTE_VALUE[data], n)
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -322,7 +332,71 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(n)
             digest.append(hashlib.sha256(rest).hexdigest())
             left.append(rest.decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string()),
+            b.column("n_passages"), b.column("n_passage_words"),
+        ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passages", "n_passage_words"])
+
+
+def _word_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the row, hash and lowest gram hash of every string of PASSAGE words; and the words of each row."""
+    _, _, h, first = words(data, offsets, BLANKS)
+    n, counts = len(h) - PASSAGE + 1, np.diff(first)
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(U64), none.view(U64), counts
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = np.flatnonzero(row[:n] == row[PASSAGE - 1:])
+    low = _sliding(_rolled(h, WORD_GRAM), PASSAGE - WORD_GRAM + 1, np.minimum)
+    return row[at], at - first[row[at]], _rolled(h, PASSAGE)[at], low[at], counts
+
+
+def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in slices(batches, "text"):
+        row, _, _, low, counts = _word_strings(data, offsets)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1])
+        size = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=part.num_rows))])
+        yield pa.RecordBatch.from_arrays([
+            part.column("k1"), part.column("k2"), pa.array(counts, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(low[new].view(np.int64))),
+        ], ["k1", "k2", "n_words", "lows"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in slices(batches, "text"):
+        row, at, whole, low, _ = _word_strings(data, offsets)
+        edge = np.searchsorted(row, np.arange(part.num_rows + 1))
+        lists = part.column("lows")
+        found = [x + np.flatnonzero(np.isin(low[x:y], lists[i].values.to_numpy().view(U64))) for i, (x, y) in enumerate(zip(edge[:-1], edge[1:]))]
+        here = np.concatenate(found)
+        k1, k2 = (part.column(c).take(pa.array(row[here])) for c in ("k1", "k2"))
+        yield pa.RecordBatch.from_arrays([pa.array(whole[here].view(np.int64)), k1, k2, pa.array(at[here], pa.int64())], ["w", "k1", "k2", "at"])
+
+
+def passages(keyed: DataFrame) -> DataFrame:
+    """k1, k2, n_passages, n_passage_words: texts with strings of PASSAGE words (A-Z lower-cased) that another row has too.
+
+    ``n_passage_words`` counts the words that such strings cover, ``n_passages`` the stretches they make.
+    """
+    long = keyed.where(F.col("n_bytes") >= 2 * PASSAGE - 1).select("k1", "k2", "text")
+    rows = written(long.mapInArrow(_lowest, "k1 bigint, k2 bigint, n_words bigint, lows array<bigint>").where(F.col("n_words") >= PASSAGE))
+    each = rows.select("k1", "k2", F.explode("lows").alias("low"))
+    shared = each.groupBy("low").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("low")
+    wanted = written(each.join(shared, "low", "left_semi").groupBy("k1", "k2").agg(F.collect_set("low").alias("lows")))
+    texts = _with_keys(long, wanted).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    strings = written(texts.join(wanted, ["k1", "k2"]).mapInArrow(_listed, "w bigint, k1 bigint, k2 bigint, at bigint"))
+    again = strings.groupBy("w").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("w")
+    ats = strings.join(again, "w", "left_semi").groupBy("k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    step = F.transform("ats", lambda x, i: x - F.coalesce(F.get("ats", i - 1), x - 2 * PASSAGE))
+    ats = ats.select("k1", "k2", step.alias("steps"))
+    covered = F.aggregate("steps", F.lit(0).cast("bigint"), lambda s, x: s + F.least(x, F.lit(PASSAGE)))
+    stretches = F.size(F.filter("steps", lambda x: x > PASSAGE)).cast("bigint")
+    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n_words").alias("n")).where("c > 1")
+    found = ats.select("k1", "k2", F.struct(covered.alias("n"), stretches.alias("p")).alias("x"))
+    found = found.union(copies.select("k1", "k2", F.struct("n", F.lit(1).cast("bigint").alias("p")).alias("x")))
+    found = found.groupBy("k1", "k2").agg(F.max("x").alias("x"))
+    return written(found.select("k1", "k2", F.col("x.p").alias("n_passages"), F.col("x.n").alias("n_passage_words")))
 
 
 def intervals(keyed: DataFrame) -> DataFrame:
@@ -372,21 +446,34 @@ def joined(stretches: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row of ``docs`` (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, n_passages, n_passage_words of every row of ``docs`` (doc_id, text).
 
     ``text`` is what remains. Cuts are made between bytes: a character of which only some bytes remain is left out of
-    ``text``, but not of ``kept_sha256``.
+    ``text``, but not of ``kept_sha256``. Passages (see ``passages``) are counted on the input and not cut.
     """
-    text = F.coalesce("text", F.lit(""))
+    return _result(docs, True)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``deduplicated`` without texts and passages: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return _result(docs, False).drop("text", "n_passages", "n_passage_words")
+
+
+def _result(docs: DataFrame, count: bool) -> DataFrame:
+    text, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("bigint")
     keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"))
     cuts = written(joined(intervals(keyed)).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))
-    zero = F.lit(0).cast("bigint")
-    whole = _with_keys(keyed, cuts, "left_anti").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = _with_keys(keyed, cuts).join(cuts, ["k1", "k2"]).mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
-    return whole.union(cut)
+    numbers = ["n_passages", "n_passage_words"]
+    counts = passages(keyed) if count else None
+    if count and counts.count() <= SMALL_KEYS:
+        counts = F.broadcast(counts)
 
+    def counted(df: DataFrame) -> DataFrame:
+        if not count:
+            return df.withColumns({c: zero for c in numbers})
+        return df.join(counts, ["k1", "k2"], "left").withColumns({c: F.coalesce(c, zero) for c in numbers})
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``deduplicated`` without the texts: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return deduplicated(docs).drop("text")
+    whole = counted(_with_keys(keyed, cuts, "left_anti")).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text", *numbers)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string, n_passages bigint, n_passage_words bigint"
+    return whole.union(counted(_with_keys(keyed, cuts).join(cuts, ["k1", "k2"])).mapInArrow(_cut, fields))

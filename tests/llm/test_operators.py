@@ -131,6 +131,33 @@ def test_suffix_dedup_returns_what_remains(spark, tmp_path):
     assert got[2].text == "first  end" and got[1].text == texts[1] and got[0].text == got[3].text == got[4].text == got[5].text == ""
 
 
+def test_suffix_dedup_counts_passages_of_over_50_words(spark):
+    """A passage of over 50 words in several documents was not seen where it had fewer than 400 bytes."""
+    p, q, own = words(60, 21), words(50, 22), words(2000, 23)
+    short = [w[:4] for w in p[:53]]
+    texts = [
+        None, "", " ".join(short), " ".join([*own[:30], *short, *own[30:60]]), " ".join([*own[60:70], *short[:50], "x"]), " ".join([*own[100:130], *q, *own[130:150]]),
+        " ".join([*own[150:160], *q]), "\n".join([*p, *own[200:260], *p]), "  ".join([w.upper() for w in p] + own[300:310] + short[1:52] + own[320:350]),
+        " ".join([*own[400:455], *own[400:455]]), " ".join(own[500:560]), " ".join(own[500:560]), " ".join(own[600:640]), " ".join(own[600:640]), " ".join(own[700:1700]), " ".join(own[1640:1750]),
+    ]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    where = {}
+    for i, w in enumerate(split):
+        for s in range(len(w) - 50):
+            where.setdefault(tuple(w[s:s + 51]), set()).add(i)
+    expected = []
+    for w in split:
+        hit = [False] * (len(w) + 1)
+        for s in range(len(w) - 50):
+            if len(where[tuple(w[s:s + 51])]) > 1:
+                hit[s:s + 51] = [True] * 51
+        expected.append((sum(h and not hit[k - 1] for k, h in enumerate(hit)), sum(hit)))
+    assert [n for n, _ in expected] == [0, 0, 1, 1, 0, 0, 0, 2, 2, 0, 1, 1, 0, 0, 1, 1]
+    got = repeats.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.n_passages, r.n_passage_words) for r in sorted(got)] == expected
+    assert all(r.n_removed == 0 for r in got if r.doc_id in (2, 3))
+
+
 def test_loser_tree_orders_and_counts_common_prefixes():
     rng = np.random.default_rng(0)
     runs, rows = [], []
