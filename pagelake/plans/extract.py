@@ -95,7 +95,9 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
 
     The static extraction decides the route; ``renders`` is small (only pages that were
     rendered), is extracted the same way, and is joined on ``page_id``, which both sides are
-    already partitioned by. Without ``renders`` no page is routed (static-only variant).
+    already partitioned by. Where the pages make more tasks than there are cores, the rendered ones are
+    extracted in a stage of their own and their results exchanged, so that no task holds the sorts of
+    both extractions. Without ``renders`` no page is routed (static-only variant).
     """
     f = R.classify_fetch(with_defaults(fetches))
     if renders is None:
@@ -125,7 +127,10 @@ def responses(fetches: DataFrame, renders: DataFrame | None = None) -> DataFrame
     options = [c for c in ("selector_hint", "max_tokens") if c in f.columns]
     if options:  # the request's options hold for its rendered page too
         r = r.drop(*options).join(f.select("page_id", *options), "page_id", "left")
-    r = extract(r, ["final_url", "elapsed_ms", "render_error", "signals"], n)
+    apart = n > f.sparkSession.sparkContext.defaultParallelism
+    r = extract(r, ["final_url", "elapsed_ms", "render_error", "signals"], n // 2 if apart else n)
+    if apart:
+        r = r.repartition(n, "page_id")
     r = r.select("page_id", F.struct(*[c for c in r.columns if c != "page_id"]).alias("r"))
     j = s.join(r, "page_id", "left")
     need = R.needs_render(F.col("render"), F.col("signals"), F.col("markdown"))

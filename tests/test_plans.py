@@ -38,6 +38,21 @@ def test_responses_take_one_exchange_per_snapshot(spark, sf):
     assert r.count() > 0
 
 
+def test_rendered_pages_of_many_are_extracted_in_a_stage_of_their_own(spark, sf, monkeypatch):
+    """One task held the sorts of both extractions, twice the memory of either."""
+    few = D.fetches(spark, sf).where("page_id < 60")
+
+    def answers(fetches):
+        return X.responses(fetches, S.table(spark, sf, "pages").select(
+            "page_id", "url", F.col("url").alias("final_url"), "html", F.lit(1.0).alias("elapsed_ms")))
+
+    seen = lambda: sorted(answers(few).select("page_id", "markdown", F.to_json("actions"), "meta.extraction_path", F.to_json("error")).collect())
+    small = seen()
+    monkeypatch.setattr(H, "page_partitions", lambda pages, *size: 2 * spark.sparkContext.defaultParallelism)
+    check(plan(answers(D.fetches(spark, sf))), 3)
+    assert seen() == small and {r.extraction_path for r in small} == {"static", "render"}
+
+
 def test_bucketed_pages_need_no_exchange(spark, sf):
     p = S.bucket_pages(D.pages(spark, sf), "pages_bucketed_test", 8)
     try:
