@@ -34,7 +34,7 @@ ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
 MAX_PARTITIONS = 40_000
 
 
-def page_partitions(pages: DataFrame, bytes_per_task: int = 8 << 20) -> int:
+def page_partitions(pages: DataFrame, bytes_per_task: int = 4 << 20) -> int:
     """Number of page partitions: from the size of the files read; small inputs use the cores at hand.
 
     The sorts of a task take about a hundred times the compressed bytes of its pages, since each token becomes a row. The cap keeps the number of shuffle blocks of a 100 TB exchange in hand; beyond it tasks get
